@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import quality_rules
+from folioflow.llm import mixing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": quality_rules.query}
+    return {
+        "op7_mixing": mixing.query,
+        "op10_quality_rules": quality_rules.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.SQL}
+    return {
+        "op7_mixing": mixing.SQL,
+        "op10_quality_rules": quality_rules.SQL,
+    }
