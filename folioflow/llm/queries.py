@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import mixing, quality_rules
+from folioflow.llm import chat, mixing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_mixing": mixing.query,
+        "op8_chat": chat.query,
         "op10_quality_rules": quality_rules.query,
     }
 
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.SQL,
+        "op8_chat": chat.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
