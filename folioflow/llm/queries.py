@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chat, mixing, quality_rules
+from folioflow.llm import chat, mixing, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.query,
         "op7_mixing": mixing.query,
         "op8_chat": chat.query,
         "op10_quality_rules": quality_rules.query,
