@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chat, mixing, quality_model, quality_rules, token_counts
+from folioflow.llm import chat, mixing, pii, quality_model, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.query,
         "op3_quality_model": quality_model.query,
+        "op5_pii": pii.query,
         "op7_mixing": mixing.query,
         "op8_chat": chat.query,
         "op10_quality_rules": quality_rules.query,
