@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chat, mixing, pii, quality_model, quality_rules, token_counts
+from folioflow.llm import chat, mixing, pii, quality_model, quality_rules, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": pii.query,
         "op7_mixing": mixing.query,
         "op8_chat": chat.query,
+        "op9_warc": warc.query,
         "op10_quality_rules": quality_rules.query,
     }
 
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.SQL,
         "op8_chat": chat.SQL,
+        "op9_warc": warc.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
