@@ -16,6 +16,7 @@ space. Repeated rows are counted each; empty tables give empty results. Other co
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import unicodedata
@@ -78,14 +79,15 @@ def pre_tokens(part: str) -> tuple[list[str], list[str]]:
     return _PRE.findall(" ".join(plain).lower()), odd
 
 
-class Lengths(dict):
-    """Pre-token to its number of tokens: starts as the broadcast table, grows as the worker's cache."""
+class Lengths:
+    """Pre-token to its number of tokens: ``known`` starts as the broadcast table and grows as the worker's cache."""
 
     def __init__(self, path: str, table: dict[str, int]):
+        # a thread pool for a handful of misses costs far more than they do; tasks are the parallelism here
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(table)
-        self.table, self.tokenizer = table, Tokenizer.from_file(path)
+        self.table, self.known, self.tokenizer = table, dict(table), Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
@@ -96,17 +98,17 @@ class Lengths(dict):
         n = 0
         for part in slices(text) if text else ():
             tokens, odd = pre_tokens(part)
-            missing = list(set(tokens).difference(self))
+            # a plain dict: for any other kind, difference() would walk through all of it
+            missing = list(set(tokens).difference(self.known))
             if missing:
-                if len(self) + len(missing) > CACHE:
-                    self.clear()
-                    self.update(self.table)
-                    missing = list(set(tokens).difference(self))
-                self.update(zip(missing, self.encode(missing)))
-            n += sum(map(self.__getitem__, tokens))
+                if len(self.known) + len(missing) > CACHE:
+                    self.known = dict(self.table)
+                    missing = list(set(tokens).difference(self.known))
+                self.known.update(zip(missing, self.encode(missing)))
+            n += sum(map(self.known.__getitem__, tokens))
             for x in missing:
                 if len(x) > KEEP_CHARS:
-                    del self[x]
+                    del self.known[x]
             if odd:
                 n += sum(self.encode(odd))
         return n
