@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chat, mixing, pii, quality_model, quality_rules, token_counts, warc
+from folioflow.llm import chat, mixing, near_dup, pii, quality_model, quality_rules, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.query,
         "op3_quality_model": quality_model.query,
         "op5_pii": pii.query,
+        "op6_near_dup": near_dup.query,
         "op7_mixing": mixing.query,
         "op8_chat": chat.query,
         "op9_warc": warc.query,
