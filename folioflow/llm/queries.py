@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chat, mixing, near_dup, pii, quality_model, quality_rules, token_counts, warc
+from folioflow.llm import chat, decontaminate, mixing, near_dup, pii, quality_model, quality_rules, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.query,
+        "op2_decontaminate": decontaminate.query,
         "op3_quality_model": quality_model.query,
         "op5_pii": pii.query,
         "op6_near_dup": near_dup.query,
