@@ -182,12 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def scorer(params: Params):
-    @F.pandas_udf("double")
     def quality(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series(score(params, list(part)), dtype="float64")
 
-    return quality
+    # not deterministic to the planner alone: a filter on the score must not run it a second time
+    return F.pandas_udf(quality, "double").asNondeterministic()
 
 
 def classify(docs: DataFrame, params: Params, text: str = "text", out: str = "quality") -> DataFrame:
