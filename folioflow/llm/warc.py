@@ -36,6 +36,7 @@ MIN_BYTES = 0
 #: A file is closed and the next begun beyond so many compressed bytes.
 ROLL = 256 << 20
 BROADCAST_ROWS = 50_000
+MOST_TASKS = 10_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("7c6c3b6e-0b0a-5d0f-9a55-3f8a5f2f8a11")
@@ -143,7 +144,7 @@ def parse_stream(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-_RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, http_length long, fields string, payload binary"
+_RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, http_length long, fields string, payload_bytes long, payload_sha1 string, payload binary"
 
 
 def _row(h: dict[str, str], block: bytes) -> tuple:
@@ -159,7 +160,10 @@ def _row(h: dict[str, str], block: bytes) -> tuple:
     else:
         fields = block.decode("utf-8", "replace")
     digest = h.get("warc-payload-digest", "").rpartition(":")[2] or None
-    return h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, length, fields, payload
+    # of a response the payload itself is measured, of a revisit its record says what the full payload has
+    n, sha1 = (length, digest) if payload is None else (len(payload), digest_of(payload))
+    ids = (h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"))
+    return *ids, digest, length, fields, n, sha1, payload
 
 
 def read_records(paths: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame:
@@ -180,19 +184,24 @@ def read_records(paths: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame:
                             rows, held = [], 0
         yield _frame(rows, names)
 
-    return paths.select("path").repartition(F.col("path")).mapInPandas(read, _RECORD)
+    # a task by file: a number that is asked for isn't merged at run time, however short the list of paths is
+    return paths.select("path").repartition(max(1, min(paths.count(), MOST_TASKS))).mapInPandas(read, _RECORD)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"http_length": "Int64"})
+    return pd.DataFrame(rows, columns=names).astype({"http_length": "Int64", "payload_bytes": "Int64"})
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One row by capture: capture_id, page_id, response, request, metadata (structs, null where missing)."""
+def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
+    """One row by capture: capture_id, page_id, response, request, metadata (structs, null where missing).
+
+    Without the payload, its measured length and digest stand for it and no bytes of it are shuffled.
+    """
+    said = ["record_id", "type", "refers_to", "target_uri", "payload_digest", "http_length", "fields", "payload_bytes", "payload_sha1"]
     main = F.col("type").isin("response", "revisit")
     r = records.withColumn("capture_id", F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")))
     one = r.groupBy("capture_id").agg(
-        F.min(F.when(main, F.struct("record_id", "type", "refers_to", "target_uri", "payload_digest", "http_length", "fields", "payload"))).alias("response"),
+        F.min(F.when(main, F.struct(*said, *["payload"] * with_payload))).alias("response"),
         F.min(F.when(F.col("type") == "request", F.struct("record_id", "target_uri", "fields"))).alias("request"),
         F.min(F.when(F.col("type") == "metadata", F.struct("record_id", "fields"))).alias("metadata"),
         F.sum(main.cast("int")).alias("copies"),
@@ -204,19 +213,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), own_dir(spark, "warc"))
-    captures = assemble(read_records(manifest))
-    p = F.col("response.payload")
-    # of a response the payload itself is measured again, of a revisit what its record says of the full payload
-    raw = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(F.sha1(p), i * 5 + 1, F.lit(5)), 16, 2))
-    bits = F.array_join(F.transform(raw, lambda x: F.lpad(x, 20, "0")), "")
-    b32 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit(_B32), F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+    captures = assemble(read_records(manifest), with_payload=False)
+    r = F.col("response")
     slim = captures.where("response is not null").select(
-        "page_id",
-        "capture_id",
-        F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("to"),
-        F.when(p.isNotNull(), F.octet_length(p)).otherwise(F.col("response.http_length")).cast("long").alias("payload_bytes"),
-        F.when(p.isNotNull(), b32).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        "page_id", "capture_id", r["type"].alias("record_type"), r["refers_to"].alias("to"), r["payload_bytes"].alias("payload_bytes"), r["payload_sha1"].alias("payload_digest")
     )
     slim = cut(slim)
     firsts = slim.where("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min("page_id").alias("refers_to"))
@@ -227,7 +227,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-
 SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),

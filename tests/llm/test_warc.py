@@ -34,7 +34,7 @@ def test_small_payloads_are_responses(spark, tmp_path):
 def test_empty_table_and_orphans(spark, tmp_path):
     manifest, got = captured(spark, [], tmp_path)
     assert manifest.count() == 0 and got.count() == 0
-    orphan = spark.createDataFrame([("<r>", "request", "<gone>", None, None, None, None, "GET /", None)], warc._RECORD)
+    orphan = spark.createDataFrame([("<r>", "request", "<gone>", None, None, None, None, "GET /", None, None, None)], warc._RECORD)
     assert [(r["capture_id"], r["response"]) for r in warc.assemble(orphan).collect()] == [("<gone>", None)]
 
 
