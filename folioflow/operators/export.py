@@ -47,10 +47,14 @@ def markdown(pages: DataFrame) -> DataFrame:
 def _over(base: Column, *later: Column) -> Column:
     """Maps merged, later ones winning."""
     for m in later:
-        base = F.map_concat(F.map_filter(base, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
+        base = F.map_concat(_without(base, m), m)
     return base
 
 
+def _without(base: Column, m: Column) -> Column:
+    return F.map_filter(base, lambda k, v: ~F.map_contains_key(m, k))
+
+
 def chunk_documents(pages: DataFrame, form_fields_last: bool = True) -> DataFrame:
     """A row by chunk (id, text, metadata): page metadata, then the source, then chunk_index; form fields win last or before it.
 

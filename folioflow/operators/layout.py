@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge_intervals(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
@@ -73,16 +74,25 @@ def xy_order(boxes: np.ndarray, width: float, height: float, y_down: bool = Fals
 
 
 def reading_order(boxes: DataFrame, width: float, height: float, y_down: bool = False, key: str = "page_id") -> DataFrame:
-    """Boxes (page, idx, x0, y0, x1, y1) with ``reading_index`` within their page."""
-
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("idx")
-        at = np.empty(len(page), np.int32)
-        at[xy_order(page[["x0", "y0", "x1", "y1"]].to_numpy(), width, height, y_down)] = np.arange(len(page))
-        return page.assign(reading_index=at)
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in boxes.dtypes) + ", reading_index int"
-    return boxes.groupBy(key).applyInPandas(order, schema)
+    """Boxes (page, idx, x0, y0, x1, y1) with ``reading_index`` within their page.
+
+    A page's boxes become one row, so many pages share a batch; a page is what has to be looked at as a whole.
+    """
+    others = [c for c in boxes.columns if c != key]
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def order(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        out = []
+        for page in zip(x0, y0, x1, y1):
+            at = np.empty(len(page[0]), np.int32)
+            at[xy_order(np.stack(page, 1), width, height, y_down)] = np.arange(len(at))
+            out.append(at)
+        return pd.Series(out, dtype="object")
+
+    whole = boxes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", *[c for c in others if c != "idx"]))).alias("__b"))
+    sides = [F.col("__b")[c].cast("array<double>") for c in ("x0", "y0", "x1", "y1")]
+    rows = whole.withColumn("__at", order(*sides)).select(key, F.posexplode("__b").alias("__k", "b"), "__at")
+    return rows.select(key, *[F.col("b")[c].alias(c) for c in others], F.get("__at", F.col("__k")).alias("reading_index"))
 
 
 # ---- glyphs --------------------------------------------------------------------------------------------------------

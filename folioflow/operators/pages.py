@@ -50,11 +50,14 @@ def _defaults() -> dict[str, Column]:
 def _put(m: Column, **entries: Column) -> Column:
     """The map with entries that aren't null; a later value of a key wins."""
     for key, value in entries.items():
-        rest = F.map_filter(m, lambda k, v, key=key: k != key)
-        m = F.when(value.isNotNull(), F.map_concat(rest, F.create_map(F.lit(key), value.cast("string")))).otherwise(m)
+        m = F.when(value.isNotNull(), F.map_concat(_without(m, key), F.create_map(F.lit(key), value.cast("string")))).otherwise(m)
     return m
 
 
+def _without(m: Column, key: str) -> Column:
+    return F.map_filter(m, lambda k, v: k != key)
+
+
 def finish(pages: DataFrame, pii_mode: str = "off") -> DataFrame:
     """Pages (path, page_index, content and any of the optional columns) with every column of the page schema.
 
