@@ -6,7 +6,9 @@ second scan of the picked paths, so the bytes of rejected files are never read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,21 +37,28 @@ def listing(spark: SparkSession, directory: str, pattern: str | None = None, arc
     return files
 
 
+def empty_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Files without a byte, which scans leave out: those that the scan's own index lists and its rows lack."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    listed = [re.sub("^file:/+", "file:/", unquote(p)) for p in scan.inputFiles()]
+    rows = spark.createDataFrame([(p,) for p in listed], "path string").join(scan.select("path"), "path", "left_anti") if len(listed) > scan.select("path").count() else scan.select("path").where("false")
+    return rows.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"), extension(F.col("path")).alias("ext"))
+
+
 def load(spark: SparkSession, directory: str, pattern: str | None = None, archives: bool = False) -> tuple[DataFrame, DataFrame]:
     """(files with ``content``, files that are too large)."""
+    wanted = F.col("ext").isin(*sorted(SUPPORTED if archives else SUPPORTED - {"zip"}))
+    if pattern:
+        wanted = wanted & F.element_at(F.split("path", "/"), -1).rlike(pattern)
     files = listing(spark, directory, pattern, archives)
     large = files.where(F.col("length") > MOST_BYTES)
-    small = files.where(F.col("length") <= MOST_BYTES)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw, picked = spark.read.format("binaryFile").option("recursiveFileLookup", "true"), directory
     if pattern:
-        names = [r["path"] for r in small.select("path").limit(MOST_PATHS + 1).collect()]
-        if len(names) <= MOST_PATHS:
-            if not names:
-                return small.withColumn("content", F.lit(b"")), large
-            raw = spark.read.format("binaryFile").load(names)
-            return raw.withColumn("ext", extension(F.col("path"))), large
-    scanned = raw.load(directory).where(F.col("length") <= MOST_BYTES).withColumn("ext", extension(F.col("path")))
-    return scanned.join(small.select("path"), "path", "left_semi") if pattern else scanned.where(F.col("ext").isin(*sorted(SUPPORTED if archives else SUPPORTED - {"zip"}))), large
+        names = [r["path"] for r in files.where(F.col("length") <= MOST_BYTES).select("path").limit(MOST_PATHS + 1).collect()]
+        if names and len(names) <= MOST_PATHS:
+            raw, picked = spark.read.format("binaryFile"), names
+    found = raw.load(picked).where(F.col("length") <= MOST_BYTES).withColumn("ext", extension(F.col("path")))
+    return found.unionByName(empty_files(spark, directory)).where(wanted), large
 
 
 def expand(files: DataFrame) -> tuple[DataFrame, DataFrame]:

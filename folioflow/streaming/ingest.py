@@ -16,7 +16,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_stream(spark: SparkSession, directory: str, archives: bool = False, files_by_batch: int = 1000) -> DataFrame:
-    """New supported files below a directory."""
+    """New supported files below a directory. Files without a byte make no rows here."""
     raw = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_by_batch).load(directory)
     wanted = SUPPORTED if archives else SUPPORTED - {"zip"}
     return raw.withColumn("ext", extension(F.col("path"))).where(F.col("ext").isin(*sorted(wanted)))
