@@ -5,14 +5,15 @@ Two texts are near copies if the weighted Jaccard similarity of their five-word
 never expanded. 28 bands of 5 rows let a pair at 0.8 slip with a probability of about 2e-5.
 
 No bucket is expanded into its pairs, none is capped and none is gathered in a task. In each round every bucket has
-leaders, 1, then 4, 16 and so on, and its members are verified against them only. A member that matches a leader C
+leaders, 1, then 16, 256 and so on, and its members are verified against them only. A member that matches a leader C
 leaves the bucket unless a link of its own could get lost, which the triangle inequality of the Jaccard distance tells:
 if some unmatched B lies at distance b from C, a match at distance a may be linked to B only if a >= b - (1 - THRESHOLD).
 Any two linked texts that share a bucket thus end in one group. A bucket of near copies is done after one
 round; rounds go on until no bucket holds two unsettled members.
 
 Verification joins pairs with shingle arrays of those texts alone that share a bucket; leaders of many members are
-salted. Groups are found by spreading the least node over the links with pointer jumping. What is reused lies in
+salted. The arrays hold 32 bits of each shingle's hash: two texts of a thousand words take one shingle for another with
+a probability of about 2e-4, which moves their similarity by 0.001 at most. Groups are found by spreading the least node over the links with pointer jumping. What is reused lies in
 reliable checkpoints. Only tables whose rows were counted first are broadcast.
 
 Defined results. A text of one to four words is one shingle; null texts and texts without words are never duplicates,
@@ -23,8 +24,10 @@ whatever their names.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -70,12 +73,12 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), BATCH_DOCS):
             part = b.iloc[at : at + BATCH_DOCS]
-            yield pd.DataFrame({"node": part["node"], "grams": [_shingles(t).tobytes() for t in part["text"]]})
+            yield pd.DataFrame({"node": part["node"], "grams": [(_shingles(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in part["text"]]})
 
 
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([bag.similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([bag.similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], dtype="float64")
 
 
 def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -83,6 +86,12 @@ def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _release(df: DataFrame) -> None:
+    """Lets Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _verify(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """Pairs (a, b) with their similarity. Both sides are joined by node; a leader's shingles are salted."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("salts"))
@@ -97,7 +106,7 @@ def links(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) ->
     """Verified pairs (a, b) that join all linked texts of every bucket; members are rows (bucket, node, n)."""
     far = 1.0 - threshold
     least = 1.0 - 2 * far
-    active, known, leaders_n = members, None, 1
+    active, verified, leaders_n = members, [], 1
     while not active.isEmpty():
         if leaders_n == 1:
             first = active.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"))
@@ -105,25 +114,27 @@ def links(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) ->
         else:
             rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
             leaders = active.withColumn("k", rank).where(F.col("k") <= leaders_n).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"))
-        leaders = cut(leaders)
         compared = cut(active.join(leaders, "bucket").where("a < node").withColumnRenamed("node", "b"))
         # similarity is at most the ratio of the sizes
         pairs = compared.where(F.least("n", "na") >= F.lit(least) * F.greatest("n", "na")).select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verify(cut(pairs), grams)
-        known = found if known is None else cut(known.unionByName(found))
+        found = _verify(pairs, grams)
+        verified.append(found.where(F.col("s") >= threshold).select("a", "b"))
         d = 1.0 - F.col("s")
-        judged = compared.join(known, ["a", "b"], "left").withColumn("d", F.when(F.col("s") >= least, d))
+        judged = compared.join(found, ["a", "b"], "left").withColumn("d", F.when(F.col("s") >= least, d))
         near = judged.groupBy("bucket", "a").agg(F.min(F.when(F.col("s") < threshold, F.col("d"))).alias("near"))
         judged = judged.join(near, ["bucket", "a"])
         settled = (F.col("s") >= threshold) & (F.col("near").isNull() | (F.col("d") < F.col("near") - far - 1e-9))
         rest = judged.groupBy("bucket", "b", "n").agg(F.max(F.coalesce(settled, F.lit(False))).alias("settled")).where(~F.col("settled"))
-        rest = rest.join(leaders.select("bucket", F.col("a").alias("b")), ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("node"), "n")
+        if leaders_n > 1:
+            rest = rest.join(leaders.select("bucket", F.col("a").alias("b")), ["bucket", "b"], "left_anti")
+        rest = rest.select("bucket", F.col("b").alias("node"), "n")
         open_ = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
         active = cut(rest.join(open_, "bucket", "left_semi"))
-        leaders_n *= 4
-    return None if known is None else known.where(F.col("s") >= threshold).select("a", "b")
+        leaders_n *= 16
+        # the round's shuffle files can go; they do once the driver has collected what stood for them
+        del compared, pairs, judged, near, rest, open_, leaders
+        _release(active)
+    return reduce(DataFrame.unionByName, verified).distinct() if verified else None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,6 +165,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     few = _few(asked)
     texts = rows.join(few.withColumnRenamed("node", "asked"), (F.col("node") == F.col("asked")) & F.col("id").eqNullSafe(F.col("rep")))
     grams = cut(texts.select("node", "text").mapInPandas(_grams, "node binary, grams binary").dropDuplicates(["node"]))
+    del asked, few, shared, texts
+    _release(grams)
     found = links(members, grams, threshold)
     multi = reps.where("copies > 1").select("node", F.col("id").alias("least_id"))
     if found is None:
