@@ -11,7 +11,7 @@ if some unmatched B lies at distance b from C, a match at distance a may be link
 Any two linked texts that share a bucket thus end in one group. A bucket of near copies is done after one
 round; rounds go on until no bucket holds two unsettled members.
 
-Verification joins pairs with shingle arrays of those texts alone that share a bucket; leaders of many members are
+Verification first compares signatures, which settles pairs that are far apart, then joins the others with shingle arrays of those texts alone that share a bucket; leaders of many members are
 salted. The arrays hold 32 bits of each shingle's hash: two texts of a thousand words take one shingle for another with
 a probability of about 2e-4, which moves their similarity by 0.001 at most. Groups are found by spreading the least node over the links with pointer jumping. What is reused lies in
 reliable checkpoints. Only tables whose rows were counted first are broadcast.
@@ -44,6 +44,8 @@ BATCH_DOCS = 128
 BROADCAST_ROWS = 200_000
 #: Members of one leader that share a copy of its shingles when pairs are verified.
 SALT_ROWS = 2_000
+#: Five standard deviations of a signature's estimate at the threshold.
+DOUBT = 0.17
 
 _WORD = re.compile(WORD)
 _hashes = bag.WordHashes()
@@ -58,15 +60,18 @@ def _node(text):
 
 
 def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The number of shingles and the bucket keys of each text; texts without words have none."""
+    """The number of shingles, the bucket keys and a byte of each place of the signature; texts without words have none."""
     for b in batches:
         for at in range(0, len(b), BATCH_DOCS):
             sets = [_shingles(t) for t in b.iloc[at : at + BATCH_DOCS]]
             kept = [i for i, s in enumerate(sets) if len(s)]
-            keys = [np.empty(0, np.int64)] * len(sets)
-            for i, k in zip(kept, bag.bands(bag.signatures([sets[i] for i in kept])) if kept else ()):
-                keys[i] = k
-            yield pd.DataFrame({"n": [len(s) for s in sets], "bands": keys})
+            keys, short = [np.empty(0, np.int64)] * len(sets), [b""] * len(sets)
+            if kept:
+                found = bag.signatures([sets[i] for i in kept])
+                low = (bag.mix(found) & np.uint64(255)).astype(np.uint8)
+                for i, k, x in zip(kept, bag.bands(found), low):
+                    keys[i], short[i] = k, x.tobytes()
+            yield pd.DataFrame({"n": [len(s) for s in sets], "bands": keys, "sig": short})
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,6 +86,15 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bag.similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The similarity by the shares of equal bytes of two signatures, less what bytes agree by chance."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, bag.M) for c in (a, b))
+    return pd.Series(((x == y).mean(1) - 1 / 256) * (256 / 255))
+
+
 def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a stored table for broadcast if its rows, counted now, are few."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -102,7 +116,19 @@ def _verify(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return cut(p.join(right, "b").join(left, ["a", "salt"]).select("a", "b", _similarity("ga", "gb").alias("s")))
 
 
-def links(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
+def _judge(pairs: DataFrame, grams: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with their similarity where it may reach the threshold, else with an upper bound that doesn't.
+
+    Signatures, 140 bytes each, tell the similarity to within ``DOUBT``, five standard deviations; only pairs that may
+    match carry their shingles.
+    """
+    a, b = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    told = cut(pairs.join(a, "a").join(b, "b").select("a", "b", (_estimate("sa", "sb") + DOUBT).alias("most")))
+    exact = _verify(told.where(F.col("most") >= threshold).select("a", "b"), grams)
+    return exact.unionByName(told.where(F.col("most") < threshold).select("a", "b", F.col("most").alias("s")))
+
+
+def links(members: DataFrame, grams: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
     """Verified pairs (a, b) that join all linked texts of every bucket; members are rows (bucket, node, n)."""
     far = 1.0 - threshold
     least = 1.0 - 2 * far
@@ -117,7 +143,7 @@ def links(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) ->
         compared = cut(active.join(leaders, "bucket").where("a < node").withColumnRenamed("node", "b"))
         # similarity is at most the ratio of the sizes
         pairs = compared.where(F.least("n", "na") >= F.lit(least) * F.greatest("n", "na")).select("a", "b").distinct()
-        found = _verify(pairs, grams)
+        found = _judge(pairs, grams, sigs, threshold)
         verified.append(found.where(F.col("s") >= threshold).select("a", "b"))
         d = 1.0 - F.col("s")
         judged = compared.join(found, ["a", "b"], "left").withColumn("d", F.when(F.col("s") >= least, d))
@@ -155,19 +181,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     """(node, least_id, copies) of every text that shares its class; ``least_id`` is the class'."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("node", _node(F.col("text")))
-    sketch = F.pandas_udf(_sketch, "n long, bands array<long>")
-    sketched = rows.select("id", "node", sketch("text").alias("s")).select("id", "node", "s.n", "s.bands")
-    reps = cut(sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")).where("n > 0"))
+    sketch = F.pandas_udf(_sketch, "n long, bands array<long>, sig binary")
+    sketched = rows.select("id", "node", sketch("text").alias("s")).select("id", "node", "s.n", "s.bands", "s.sig")
+    reps = cut(sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("n > 0"))
     members = reps.select("node", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     members = cut(members.join(shared, "bucket", "left_semi"))
-    asked = cut(members.select("node").distinct().join(reps.select("node", F.col("id").alias("rep")), "node"))
-    few = _few(asked)
+    asked = cut(members.select("node").distinct().join(reps.select("node", F.col("id").alias("rep"), "sig"), "node"))
+    few = _few(asked.select("node", "rep"))
     texts = rows.join(few.withColumnRenamed("node", "asked"), (F.col("node") == F.col("asked")) & F.col("id").eqNullSafe(F.col("rep")))
     grams = cut(texts.select("node", "text").mapInPandas(_grams, "node binary, grams binary").dropDuplicates(["node"]))
-    del asked, few, shared, texts
+    del few, shared, texts
     _release(grams)
-    found = links(members, grams, threshold)
+    found = links(members, grams, asked, threshold)
     multi = reps.where("copies > 1").select("node", F.col("id").alias("least_id"))
     if found is None:
         return cut(multi)
