@@ -54,7 +54,7 @@ def _rewrite(c: Column, kind: str, mode: str) -> Column:
     # mask: each hit on its own; the pieces between hits are what splitting leaves
     hits, rest = F.regexp_extract_all(c, F.lit(p), 0), F.split(c, p, -1)
     masked = F.transform(hits, lambda h: mask(h, kind))
-    return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(masked, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(rest, masked, lambda r, m: F.concat(r, F.coalesce(m, F.lit("")))), "")
 
 
 def mask(hit: Column, kind: str) -> Column:
