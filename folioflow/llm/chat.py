@@ -63,10 +63,12 @@ def reconstruct(events: DataFrame) -> DataFrame:
     )
     later = W.partitionBy("conv_id").orderBy(F.col("seq").desc(), F.col("msg").desc()).rowsBetween(W.unboundedPreceding, -1)
     redone = F.min(F.when(F.col("kind") == "regenerate", F.col("msg"))).over(later)
-    e = e.withColumn("__redone", redone).where(F.col("__redone").isNull() | (F.col("msg") < F.col("__redone")))
     own = W.partitionBy("conv_id", "msg")
+    named = F.min(F.when(F.col("role") != "", F.struct("seq", "role"))).over(own)["role"]
+    e = e.withColumns({"__redone": redone, "__named": named}).where(F.col("__redone").isNull() | (F.col("msg") < F.col("__redone")))
     reset = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq"))).over(own)
-    first_role = F.coalesce(F.min(F.when(F.col("role") != "", F.struct("seq", "role"))).over(own)["role"], F.lit(""))
+    # a message keeps its role when what named it is regenerated away
+    first_role = F.coalesce(named, F.col("__named"), F.lit(""))
     e = e.withColumns({"__reset": reset, "role": first_role}).where(F.col("__reset").isNull() | (F.col("seq") >= F.col("__reset")))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return e.groupBy("conv_id", "msg").agg(F.first("role").alias("role"), F.array_join(parts, "").alias("text"))
