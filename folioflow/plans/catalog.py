@@ -238,6 +238,11 @@ def fast_chunks_tables(spark, d):
     return got.select("page_id", F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
+def _children(pages: DataFrame) -> DataFrame:
+    kids = chunking.child_chunks(chunking.fast_chunks(pages, "content", SIZE), CHILD)
+    return kids.select("page_id", F.explode("child_chunks").alias("c")).select("page_id", "c.parent_index", "c.text")
+
+
 @_register(
     "child_chunks",
     f"""WITH {_HTML}, c AS (SELECT page_id, {_pack_sql(_PARAS, SIZE)} AS cs FROM h WHERE {_PLAIN}),
@@ -246,9 +251,13 @@ y AS (SELECT page_id, parent_index, {_pack_sql(_PARAS, CHILD)} AS ks FROM x)
 SELECT page_id, parent_index, unnest(ks) AS text FROM y""",
 )
 def child_chunks(spark, d):
-    got = chunking.fast_chunks(_pages(spark, d).where(~chunking.needs_structure(F.col("content"))), "content", SIZE)
-    kids = chunking.child_chunks(got, CHILD)
-    return kids.select("page_id", F.explode("child_chunks").alias("c")).select("page_id", "c.parent_index", "c.text")
+    return _children(_pages(spark, d).where(~chunking.needs_structure(F.col("content"))))
+
+
+@_register("child_chunks_tables")
+def child_chunks_tables(spark, d):
+    """The pages with tables, whose chunks are split by structure or by paragraph, as each holds a table mark or not."""
+    return _children(_pages(spark, d).where(chunking.needs_structure(F.col("content"))))
 
 
 @_register("structural_chunks")
@@ -402,15 +411,24 @@ def json_lines(spark, d):
     return table(spark, d, "events").select("event_id", ndjson_line(F.col("props")).alias("line"))
 
 
-@_register("export_chunks", f"WITH {_HTML}, c AS (SELECT page_id, url, {_pack_sql(_PARAS, SIZE)} AS cs FROM h WHERE {_PLAIN}) SELECT url || '_p0_chunk_' || unnest(range(len(cs))) AS id, unnest(cs) AS text, url AS source FROM c")
-def export_chunks(spark, d):
+def _exported(pages: DataFrame) -> DataFrame:
     from folioflow.operators.export import chunk_documents
 
-    pages = _pages(spark, d).where(~chunking.needs_structure(F.col("content"))).withColumnsRenamed({"url": "path"})
-    pages = chunking.fast_chunks(pages, "content", SIZE).withColumns({"page_index": F.lit(0), "metadata": F.create_map().cast("map<string,string>"), "form_fields": F.create_map().cast("map<string,string>")})
+    pages = chunking.fast_chunks(pages.withColumnsRenamed({"url": "path"}), "content", SIZE).withColumns({"page_index": F.lit(0), "metadata": F.create_map().cast("map<string,string>"), "form_fields": F.create_map().cast("map<string,string>")})
     return chunk_documents(pages).select("id", "text", F.col("metadata")["source"].alias("source"))
 
 
+@_register("export_chunks", f"WITH {_HTML}, c AS (SELECT page_id, url, {_pack_sql(_PARAS, SIZE)} AS cs FROM h WHERE {_PLAIN}) SELECT url || '_p0_chunk_' || unnest(range(len(cs))) AS id, unnest(cs) AS text, url AS source FROM c")
+def export_chunks(spark, d):
+    return _exported(_pages(spark, d).where(~chunking.needs_structure(F.col("content"))))
+
+
+@_register("export_chunks_tables")
+def export_chunks_tables(spark, d):
+    """The pages with tables."""
+    return _exported(_pages(spark, d).where(chunking.needs_structure(F.col("content"))))
+
+
 @_register("fixed_layout")
 def fixed_layout(spark, d):
     """Reading order of boxes made from line items: columns of boxes on pages of one order each."""
