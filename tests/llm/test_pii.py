@@ -39,6 +39,12 @@ def test_base_equals_patterns_on_random_texts():
         assert pii.base_spans(t) == brute(t), t
 
 
+def test_addresses_of_single_digits():
+    for t in ("8.8.8.8", "see 8.8.8.8 now", "1.1.1.1", "1.2.3.4", "é 9.9.9.9, a@b.cd"):
+        assert pii.base_spans(t) == brute(t) and any(k == 1 for *_, k in brute(t)), t
+        assert "[IP]" in pii.redact(t, pii.find([t])[0][1])
+
+
 def test_long_texts_take_linear_time():
     for t in ("a" * 300_000, "1" * 300_000, "@" * 300_000, "+1" * 150_000, "1." * 150_000, "(at)" * 70_000, "a-1_" * 70_000):
         base, spans = pii.find([t])[0]
