@@ -83,22 +83,26 @@ def base_spans(t: str) -> list[Span]:
 # ---- candidates and their features ---------------------------------------------------------------------------------
 
 _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 GENERATORS = tuple(
     (KINDS.index(kind), re.compile(pattern))
     for kind, pattern in (
         ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z0-9-]{2,63}){1,4}"),
+        ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,4}"),
         ("ip", _B + r"(?:[0-9A-Fa-f]{1,4}:){3,7}:?(?:[0-9A-Fa-f]{1,4}:){0,3}[0-9A-Fa-f]{1,4}" + _E),
+        ("ip", _B + _GROUPS + "::(?:" + _GROUPS + ")?(?![A-Za-z0-9:])"),
+        ("ip", "(?<![A-Za-z0-9:])::" + _GROUPS + _E),
         ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
         ("card", r"(?<![0-9])[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?![0-9])"),
         ("card", r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"),
         ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?|00[0-9]{1,3}[ .-])\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"),
         ("phone", r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
-        ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])"),
+        ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
         ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
         ("iban", _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E),
     )
 )
-_MAYBE = re.compile(r"[0-9]|[\[(] ?(?:at|AT) ?[\])]")
+_MAYBE = re.compile(r"[0-9]|[A-Fa-f]:|:[A-Fa-f]|[\[(] ?(?:at|AT) ?[\])]")
 CUES = tuple(
     re.compile(p, re.I)
     for p in (
@@ -190,8 +194,8 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
-    """Composed texts, a candidate in each and whether it is personal data."""
+def composed(seed: int) -> Iterator[tuple[str, Span, int]]:
+    """Composed texts without end, a span in each that is of its kind or only looks so, and which of the two (1 or 0)."""
     r = random.Random(seed)
     dig = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice(["th", "er", "on", "la", "que", "sch", "ei", "ción", "re", "an", "ti", "ou"]) for _ in range(r.randint(1, 4)))
@@ -215,14 +219,17 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
 
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    group = lambda: f"{r.randrange(1, 65536) >> r.choice([0, 0, 4, 8, 12]) or 1:x}"
+    short_ip = lambda: r.choice(["2001:db8", "fe80", "fd00", "2a02:" + group(), "2607:f8b0:" + group()]) + "::" + ":".join(group() for _ in range(r.choice([1, 1, 2, 4])))
     name = lambda: word() + r.choice(["", ".", "_"]) + r.choice([word(), dig(2)])
     yes = (
         ("email", lambda: f"{name()} {r.choice(['[at]', '(at)', '[ at ]'])} {word()}.{r.choice(['com', 'org', 'net'])}".encode("ascii", "ignore").decode(), ("", "mail ", "contact: ")),
         ("ip", lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), ("", "host ", "ip ")),
+        ("ip", short_ip, ("", "host ", "ip ", "server ", "addr=")),
         ("card", lambda: card(True), ("", "", "", "card ", "visa: ")),
         ("card", lambda: card(False), ("credit card ", "card number: ", "Karte ")),
         ("phone", phone, ("", "", "", "call ", "tel. ", "phone: ", "mobil ")),
-        ("secret", lambda: r.choice([hexes(40), hexes(40), hexes(64), hexes(40).upper(), mixed(32), "sk_live_" + mixed(24), "ghp_" + mixed(36)]), ('token = "', "api_key=", "secret: ", "password ", "key: ", "Bearer ", 'TOKEN = "', "")),
+        ("secret", lambda: r.choice([hexes(40), hexes(40), hexes(64), hexes(40).upper(), mixed(32), "sk_live_" + mixed(24), "ghp_" + mixed(36), mixed(r.randint(200, 900))]), ('token = "', "api_key=", "?token=", "SECRET=", "secret: ", "password ", "key: ", "Bearer ", 'TOKEN = "', "")),
         ("ssn", lambda: f"{r.randrange(100, 660)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", ("", "ssn ", "social security ")),
         ("iban", lambda: iban(True), ("", "iban ", "account: ")),
     )
@@ -231,30 +238,40 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
         ("phone", lambda: f"{r.randrange(1900, 2030)}-{dig(4)}-{dig(4)}", ("", "part ", "ref ")),
         ("phone", lambda: f"{dig(3)}.{dig(3)}.{dig(3)}", ("version ", "table ", "")),
         ("phone", lambda: f"{dig(3)} {dig(3)} {dig(3)}", ("page ", "figure ", "table ", "")),
-        ("secret", lambda: r.choice([hexes(40), hexes(64), hexes(32)]), ("commit ", "sha256: ", "md5 ", "checksum: ", "rev ")),
+        ("secret", lambda: r.choice([hexes(40), hexes(64), hexes(32)]), ("commit ", "sha256: ", "md5 ", "checksum: ", "rev ", "commit=", "sha256=", "?rev=")),
         ("secret", lambda: "-".join([word(), word(), dig(2), word(), word()]).ljust(24, "x"), ("", "", "see ")),
-        ("secret", lambda: "/".join(word() for _ in range(6)) + "/" + dig(3) + "/page/of/it", ("", "see ", "https://")),
+        ("secret", lambda: "/".join(word() for _ in range(6)) + "/" + dig(3) + "/page/of/it", ("", "see ", "https://", "href=", "?page=")),
         ("ssn", lambda: f"{r.choice(['000', '666', '9' + dig(2)])}-{dig(2)}-{dig(4)}", ("", "part ", "order ")),
         ("ssn", lambda: f"{dig(3)}-{dig(2)}-{dig(4)}", ("part no. ", "order ", "serial ")),
         ("iban", lambda: iban(False), ("", "", "part ", "serial ")),
         ("ip", lambda: ":".join(dig(2) for _ in range(4)), ("", "date ", "at ")),
+        ("ip", lambda: r.choice(["{}::{}", "::{}", "{}::"]).format(*(r.choice(["add", "Bad", "dead", "fee", "Cafe", "ace", "face", "de", "a", "b", "c"]) for _ in "12")), ("", "call ", "see ", "class ", "ref ")),
     )
-    out: list[tuple[str, Span, int]] = []
-    while len(out) < n:
+    while True:
         y = int(r.random() < 0.5)
         kind, make, cues = r.choice(yes if y else no)
         s = make()
         # neighbours that base patterns swallow it with, as well as plain text
         head = " ".join(word() for _ in range(r.randint(0, 6))) + r.choice([" ", ", ", ". ", "\n", " " + dig(16) + " ", ' ']) + r.choice(cues)
         tail = ('"' if head.endswith('"') else r.choice(["", "", ".", ",", "!!", "%%%"])) + r.choice([" ", " " + dig(16) + " ", " 97.51.17.173 ", "\n", " | "]) + word()
-        t = head + s + tail
-        k = KINDS.index(kind)
-        for c in candidates(t, []):
-            if c[2] == k and c[0] <= len(head) and c[1] >= len(head) + len(s) and c[1] - c[0] <= len(s) + 3:
-                out.append((t, c, y))
+        yield head + s + tail, (len(head), len(head) + len(s), KINDS.index(kind)), y
+
+
+def is_for(c: Span, truth: Span) -> bool:
+    """A candidate covers the span and little else."""
+    return c[2] == truth[2] and c[0] <= truth[0] and c[1] >= truth[1] and c[1] - c[0] <= truth[1] - truth[0] + 3
+
+
+def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
+    """Composed texts, a candidate in each and whether it is personal data; spans without a candidate teach nothing."""
+    out: list[tuple[str, Span, int]] = []
+    for t, truth, y in composed(seed):
+        found = candidates(t, [])
+        out += [(t, c, y) for c in found if is_for(c, truth)]
         # a candidate that overlaps the truth and isn't it is wrong
-        out += [(t, c, 0) for c in candidates(t, []) if y and c[0] < len(head) + len(s) and c[1] > len(head) and (c[2] != k or c[1] - c[0] < len(s) - 1)][:1]
-    return out[:n]
+        out += [(t, c, 0) for c in found if y and c[0] < truth[1] and c[1] > truth[0] and (c[2] != truth[2] or c[1] - c[0] < truth[1] - truth[0] - 1)][:1]
+        if len(out) >= n:
+            return out[:n]
 
 
 @cache

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 
@@ -51,6 +53,11 @@ def test_long_texts_take_linear_time():
         assert len(spans) >= len(base)
 
 
+def test_new_generators_take_linear_time():
+    for t in ("=" * 300_000, "a=" * 150_000, "ab=1" * 75_000, "a:" * 150_000, "a::" * 100_000, ":" * 300_000, "x" * 300_000 + "=1", "a [at] b." * 30_000):
+        pii.find([t])
+
+
 def test_trees_add_what_base_patterns_swallow():
     texts = ["call +1 (826) 555-4081 190.137.223.204 now", "7536784127813050 4845168114407329", 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "pay 2024-01-15 or version 3.14159", None, ""]
     got = [pii.written(s) for _, s in pii.find(texts)]
@@ -69,6 +76,31 @@ def test_held_out_accuracy():
     assert y[picked].mean() > 0.95 and picked[y == 1].mean() > 0.85
 
 
+def test_generators_propose_and_trees_take():
+    hexes = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    asked = [("secret", f"api_key={hexes} x", hexes), ("secret", f"https://h.io/a?token={hexes}&b=1", hexes), ("secret", "key: " + hexes * 10, hexes * 10)]
+    asked += [("ip", f"host {a} is up", a) for a in ("2001:db8::1", "fe80::1", "2607:f8b0:4004::200e")]
+    for (kind, t, s), (_, spans) in zip(asked, pii.find([t for _, t, _ in asked])):
+        truth = (t.index(s), t.index(s) + len(s), pii.KINDS.index(kind))
+        assert truth in pii.candidates(t, []) and truth in spans, t
+    t = "a ::1 b dead:beef::cafe"
+    assert {(2, 5, 1), (8, 23, 1)} <= set(pii.candidates(t, []))
+
+
+def test_recall_counts_positives_without_a_candidate():
+    trees, bars = pii.model()
+    all_, proposed, taken = Counter(), Counter(), Counter()
+    for t, truth, y in islice(pii.composed(9), 3000):
+        if y:
+            found = [c for c in pii.candidates(t, []) if pii.is_for(c, truth)]
+            p = trees.probability(np.array([pii.features(t, *c) for c in found])) if found else np.zeros(0)
+            all_[truth[2]] += 1
+            proposed[truth[2]] += bool(found)
+            taken[truth[2]] += bool((p >= bars[truth[2]]).any())
+    assert len(all_) == 7 and all(proposed[k] >= 0.98 * n for k, n in all_.items()), (all_, proposed)
+    assert sum(taken.values()) > 0.85 * sum(all_.values()), (all_, taken)
+
+
 def test_query_over_all_rows(spark):
     d = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r for r in pii.query(spark, d).collect()}
