@@ -52,7 +52,8 @@ _S = "\\t-\\r \x85\xa0"
 #: What the fast path can't take: other characters, and anything that might belong to a special string.
 _OTHER = re.compile(f"[^\x00-įı-{chr(_PLAIN_END - 1)}]|<\\|")
 _PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_PIECE = re.compile(f"[^{_S}]+")
+#: Pieces between the tokenizer's own white space; str.split() also takes U+001C..U+001F for it, which are tokens.
+_PIECE = re.compile(f"[^{_S}\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SPACE = re.compile(f"[{_S}]")
 
 
@@ -73,8 +74,7 @@ def pre_tokens(part: str) -> tuple[list[str], list[str]]:
     if not _OTHER.search(part):
         return _PRE.findall(low), []
     plain, odd = [], []
-    # pieces by the widest notion of white space, so that none that the tokenizer knows is missed
-    for piece in part.split():
+    for piece in _PIECE.findall(part):
         (odd if _OTHER.search(piece) else plain).append(piece)
     return _PRE.findall(" ".join(plain).lower()), odd
 

@@ -19,6 +19,15 @@ def test_lengths_equal_library():
         assert own.count(x) == (len(t.encode(x, add_special_tokens=False).ids) if x else 0), x
 
 
+def test_mixed_path_cuts_at_the_tokenizers_white_space():
+    t = Tokenizer.from_file(PATH)
+    own = tc.Lengths(PATH, {})
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u180e", "\u200b", "\u2060", "\ufeff"]
+    for c in spaces:
+        for x in (f"abc {c} def — x", f"abc{c}def — x", f"ab —{c}{c}日本{c}cd's", f"{c}<|endoftext|>{c}a{c}"):
+            assert own.count(x) == len(t.encode(x, add_special_tokens=False).ids), ascii(x)
+
+
 def test_small_tiers_and_slices(monkeypatch):
     t = Tokenizer.from_file(PATH)
     monkeypatch.setattr(tc, "CACHE", 3)
