@@ -18,7 +18,7 @@ reliable checkpoints. Only tables whose rows were counted first are broadcast.
 
 Defined results. A text of one to four words is one shingle; null texts and texts without words are never duplicates,
 each row is its own class. Ids may be null or repeated: classes are of texts, a class takes its least id (null only if
-it has no other), ``deduplicate`` keeps one row of a class. Empty tables give empty results. Other columns pass through,
+it has no other), and of the texts with that id the least node is kept; ``deduplicate`` keeps one row of a class. Empty tables give empty results. Other columns pass through,
 whatever their names.
 """
 
@@ -178,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(node, least_id, copies) of every text that shares its class; ``least_id`` is the class'."""
+    """(node, least_id, keeps) of every text that shares its class; one text of a class, the least by id and node, keeps."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("node", _node(F.col("text")))
     sketch = F.pandas_udf(_sketch, "n long, bands array<long>, sig binary")
@@ -194,23 +194,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     del few, shared, texts
     _release(grams)
     found = links(members, grams, asked, threshold)
-    multi = reps.where("copies > 1").select("node", F.col("id").alias("least_id"))
+    multi = reps.where("copies > 1").select("node", F.col("id").alias("least_id"), F.lit(True).alias("keeps"))
     if found is None:
         return cut(multi)
     labels = components(found)
     ids = labels.join(reps.select("node", "id"), "node")
-    group = ids.groupBy("label").agg(F.min("id").alias("least_id"))
-    linked = cut(ids.join(group, "label").select("node", "least_id"))
+    # null ids last; ids may repeat among the texts of a class, nodes don't
+    group = ids.groupBy("label").agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "node")).alias("least")).select("label", F.col("least.id").alias("least_id"), F.col("least.node").alias("keeper"))
+    linked = cut(ids.join(group, "label").select("node", "least_id", (F.col("node") == F.col("keeper")).alias("keeps")))
     return cut(multi.join(linked.select("node"), "node", "left_anti").unionByName(linked))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "dup", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and a struct ``out`` of class_id and kept (the row has its class' id)."""
-    shared = _few(classes(docs, id_col, text, threshold)).select(F.col("node").alias("__n"), F.col("least_id").alias("__least"))
+    """All columns of ``docs`` and a struct ``out`` of class_id and kept (the row has its class' id and the text that is kept)."""
+    shared = _few(classes(docs, id_col, text, threshold)).select(F.col("node").alias("__n"), F.col("least_id").alias("__least"), F.col("keeps").alias("__keeps"))
     own = F.col(f"`{id_col}`")
     rows = docs.withColumn("__node", _node(F.col(f"`{text}`"))).join(shared, F.col("__node") == F.col("__n"), "left")
     found = F.col("__n").isNotNull()
-    verdict = F.struct(F.when(found, F.col("__least")).otherwise(own).alias("class_id"), (~found | own.eqNullSafe(F.col("__least"))).alias("kept"))
+    verdict = F.struct(F.when(found, F.col("__least")).otherwise(own).alias("class_id"), (~found | (own.eqNullSafe(F.col("__least")) & F.col("__keeps"))).alias("kept"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias(out))
 
 

@@ -97,6 +97,16 @@ def test_odd_rows(spark):
     assert nd.mark(df.where("false")).count() == 0
 
 
+def test_one_row_of_near_copies_with_null_or_equal_ids(spark):
+    near = lambda c: [" ".join(f"{c}{j}" for j in range(100)) + f" end{i}" for i in range(3)]
+    rows = [(None, t, "null") for t in near("n")] + [(7, t, "equal") for t in near("e")] + [(i, t, "mixed") for i, t in zip((None, 9, 9), near("m"))]
+    rows += [rows[0], rows[3], rows[8], (8, "a text of its own", "alone"), (None, "another text of its own", "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r["source"], r["doc_id"] or 0) for r in nd.deduplicate(df).collect()) == [("alone", 0), ("alone", 8), ("equal", 7), ("mixed", 9), ("null", 0)]
+    kept = {(r["source"], r["text"]) for r in nd.mark(df).collect() if r["dup"]["kept"]}
+    assert sorted(s for s, _ in kept) == ["alone", "alone", "equal", "mixed", "null"]
+
+
 def test_query_equals_all_links(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
