@@ -30,6 +30,16 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--child-chunk-size", type=int)
             c.add_argument("--max-pages", type=int)
             c.add_argument("--repair-pdf", action="store_true")
+            c.add_argument("--repair-level", default="normal")
+            c.add_argument("--strategy")
+            c.add_argument("--layout-mode", default="auto")
+            c.add_argument("--backend", default="auto")
+            c.add_argument("--use-ocr", action="store_true")
+            c.add_argument("--ocr-mode", default="fast")
+            c.add_argument("--use-embeddings", action="store_true")
+            c.add_argument("--doc-chunking", action="store_true")
+            c.add_argument("--pdf-password")
+            c.add_argument("--cache-dir", help="where results are kept and looked up")
     sub.add_parser("version")
     return p
 
@@ -42,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("folioflow").getOrCreate()
     common = {"pattern": a.pattern, "ingest_archives": a.archives}
     if a.command in ("ingest", "sanitize"):
-        pages = ingest(spark, a.directory, pii_mode=a.pii_mode, chunk_size=a.chunk_size, child_chunk_size=a.child_chunk_size, max_pages=a.max_pages, repair_pdf=a.repair_pdf, **common)
+        names = ("pii_mode", "chunk_size", "child_chunk_size", "max_pages", "repair_pdf", "repair_level", "strategy", "layout_mode", "backend", "use_ocr", "ocr_mode", "use_embeddings", "doc_chunking", "pdf_password")
+        pages = ingest(spark, a.directory, cache_dir=a.cache_dir, use_cache=a.cache_dir is not None, **{k: getattr(a, k) for k in names}, **common)
         if a.output and a.output.endswith(".json"):
             export.write_json_array(pages, a.output)
         elif a.output and a.output.endswith(".md"):

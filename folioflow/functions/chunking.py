@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.text import BLANKS, trim
+from folioflow.functions.text import BLANKS, fenced, held, trim
 
 CHUNK_SIZE = 1000
 #: Tried in turn: headings from the largest, blank line, line, sentence, word.
@@ -109,12 +109,15 @@ def packed(parts: Column, size: int, glue: str = "\n\n") -> Column:
     n = lambda c: F.octet_length(c)
     empty = F.struct(F.lit("").alias("done"), F.lit("").alias("now"))
 
+    def closed(v: Column) -> Column:
+        full = n(v["now"]) >= size
+        return F.struct(F.when(full, F.concat(v["done"], v["now"], F.lit(mark))).otherwise(v["done"]).alias("done"), F.when(full, F.lit("")).otherwise(v["now"]).alias("now"))
+
     def step(acc: Column, p: Column) -> Column:
         flush = (acc["now"] != "") & (n(acc["now"]) + n(p) + len(glue) > size)
         done = F.when(flush, F.concat(acc["done"], acc["now"], F.lit(mark))).otherwise(acc["done"])
         now = F.when(flush | (acc["now"] == ""), p).otherwise(F.concat(acc["now"], F.lit(glue), p))
-        full = n(now) >= size
-        return F.struct(F.when(full, F.concat(done, now, F.lit(mark))).otherwise(done).alias("done"), F.when(full, F.lit("")).otherwise(now).alias("now"))
+        return held(F.struct(done.alias("done"), now.alias("now")), closed)
 
     whole = F.aggregate(parts, empty, step, lambda acc: F.concat(acc["done"], acc["now"]))
     return F.filter(F.split(whole, mark), lambda c: c != "")
@@ -131,9 +134,9 @@ def needs_structure(text: Column) -> Column:
 
 def fast_chunks(df: DataFrame, text: str = "content", size: int = CHUNK_SIZE, out: str = "chunks") -> DataFrame:
     """Paragraph chunks; texts with tables go to the structural splitter, and only they reach Python."""
-    t = F.col(text)
-    tables = F.when(needs_structure(t), t)
-    return df.withColumn(out, F.when(needs_structure(t), structural(tables, size)).otherwise(paragraph_chunks(t, size)))
+    t, table = F.col(text), F.col("__table")
+    df = fenced(fenced(df, text).withColumn("__table", F.when(needs_structure(t), t)), "__table")
+    return df.withColumn(out, F.when(table.isNotNull(), structural(table, size)).otherwise(paragraph_chunks(t, size))).drop("__table")
 
 
 def child_chunks(df: DataFrame, size: int, fast: bool = True, chunks: str = "chunks", out: str = "child_chunks") -> DataFrame:
@@ -148,8 +151,9 @@ def child_chunks(df: DataFrame, size: int, fast: bool = True, chunks: str = "chu
         for b in batches:
             yield pd.Series([[{"text": x, "parent_index": i} for i, c in enumerate(cs if cs is not None else []) for x in (fast_list(c, size) if fast else structural_list(c, size))] for cs in b], dtype="object")
 
-    made = F.pandas_udf(run, "array<struct<text: string, parent_index: int>>")(F.when(whole, F.col(chunks)))
-    return df.withColumn(out, made if native is None else F.when(whole, made).otherwise(native))
+    df = fenced(fenced(df, chunks).withColumn("__whole", F.when(whole, F.col(chunks))), "__whole")
+    made = F.pandas_udf(run, "array<struct<text: string, parent_index: int>>")("__whole")
+    return df.withColumn(out, made if native is None else F.when(F.col("__whole").isNotNull(), made).otherwise(native)).drop("__whole")
 
 
 def fast_list(text: str, size: int) -> list[str]:

@@ -5,9 +5,10 @@ Sizes are UTF-8 bytes, language and garbled checks look at code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that is trimmed: the Unicode property, without the control characters that Python's strip also takes.
@@ -22,6 +23,22 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often ``use`` names it.
+
+    The optimizer puts a column's expression wherever the column is named; a lambda's variable it leaves alone.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def fenced(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows; what stands in the named columns is computed here, once, and not where it is used.
+
+    The condition is always true and not deterministic to the planner, which moves nothing across it.
+    """
+    return df.withColumns({n: F.when(F.spark_partition_id() >= 0, F.col(n)) for n in names})
+
+
 def html_text(html: Column) -> Column:
     """HTML to text: scripts and styles go, breaks and block ends become lines, other tags blanks, six entities signs."""
     s = html
@@ -79,13 +96,19 @@ SCRIPTS = (("en", "A-Za-z"), ("zh", "一-鿿"), ("ru", "Ѐ-ӿ"), ("ar", "؀-ۿ")
 
 def language_hint(text: Column) -> Column:
     """The script most letters of the first 2000 code points belong to; null if blank, ``unknown`` if none counts."""
-    sample = F.substring(text, 1, LANGUAGE_SAMPLE)
-    counts = [F.length(F.regexp_replace(sample, f"[^{cls}]+", "")) for _, cls in SCRIPTS]
-    most = F.greatest(*counts)
-    hint = F.when(most == 0, F.lit("unknown"))
-    for (name, _), n in reversed(list(zip(SCRIPTS, counts))):
-        hint = hint.when(n == most, F.lit(name))
-    return F.when(trim(text) != "", hint)
+
+    def counted(sample: Column) -> Column:
+        counts = [F.length(F.regexp_replace(sample, f"[^{cls}]+", "")).alias(name) for name, cls in SCRIPTS]
+        return held(F.struct(*counts), most)
+
+    def most(n: Column) -> Column:
+        top = F.greatest(*[n[name] for name, _ in SCRIPTS])
+        hint = F.when(top == 0, F.lit("unknown"))
+        for name, _ in reversed(SCRIPTS):
+            hint = hint.when(n[name] == top, F.lit(name))
+        return hint
+
+    return F.when(trim(text) != "", held(F.substring(text, 1, LANGUAGE_SAMPLE), counted))
 
 
 def garbled(text: Column) -> Column:

@@ -211,3 +211,11 @@ def table_markdown(glyphs: pd.DataFrame, box: tuple[float, float, float, float])
         lines.append("| " + " | ".join(c.strip() for c in cells) + " |")
     n = max(x.count("|") for x in lines) - 1
     return "\n".join([lines[0], "|" + "---|" * n, *lines[1:]])
+
+
+def detected_tables(detector, image: np.ndarray, glyphs: pd.DataFrame) -> str:
+    """Markdown of the tables that a detector (image to boxes and scores, in the glyphs' units) finds on a page."""
+    boxes, scores = detector.detect(image)
+    boxes = np.asarray(boxes, np.float64).reshape(-1, 4)
+    found = (table_markdown(glyphs, tuple(boxes[i])) for i in non_max_suppression(boxes, np.asarray(scores, np.float64)))
+    return "\n\n".join(t for t in found if t)

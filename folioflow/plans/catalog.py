@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", "url", text.html_text(F.col("html")).alias("content"))
+    return text.fenced(table(spark, d, "pages").select("page_id", "url", text.html_text(F.col("html")).alias("content")), "content")
 
 
 def _doc_pages(spark: SparkSession, d: str) -> DataFrame:

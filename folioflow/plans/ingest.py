@@ -49,12 +49,16 @@ def _semantic(pages: DataFrame, o: Options, embedder: Embedder) -> DataFrame:
     return pages.join(whole, key, "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<string>")))
 
 
-def pages_of(spark: SparkSession, files: DataFrame, large: DataFrame | None, o: Options, pdf=None, ocr=None, decode=None, embedder: Embedder | None = None) -> DataFrame:
+def pages_of(spark: SparkSession, files: DataFrame, large: DataFrame | None, o: Options, pdf=None, ocr=None, decode=None, embedder: Embedder | None = None, tables=None) -> DataFrame:
     """Files (path, length, modificationTime, content, ext) to finished pages."""
     broken = None
     if o.ingest_archives:
         files, broken = sources.expand(files)
     pdf_options = {"password": o.pdf_password, "max_pages": o.max_pages, "repair": o.repair_pdf, "level": o.repair_level, "multi_column": o.layout_mode == "multi_column"}
+    if o.use_ocr:
+        pdf_options["recognition"] = {"use_ocr": True, "mode": o.ocr_mode, "strategy_ocr": o.strategy == "ocr", "ocr": ocr, "scale": o.ocr_render_scale}
+    if o.use_vlm:
+        pdf_options["tables"] = tables
     engine = pdf or pdf_backend(o.backend)
     raw = sources.raw_pages(files, engine, pdf_options, ocr if o.use_ocr else None, decode)
     bad = None if large is None else page_ops.error_pages(large, F.lit("file is too large"))
@@ -73,16 +77,16 @@ def pages_of(spark: SparkSession, files: DataFrame, large: DataFrame | None, o:
     return page_ops.finish(pages, o.pii_mode)
 
 
-def ingest(spark: SparkSession, directory: str, cache_dir: str | None = None, pdf=None, ocr=None, decode=None, embedder: Embedder | None = None, **options) -> DataFrame:
+def ingest(spark: SparkSession, directory: str, cache_dir: str | None = None, pdf=None, ocr=None, decode=None, embedder: Embedder | None = None, tables=None, **options) -> DataFrame:
     """Pages of all supported files below ``directory``, lazily; see Options for what can be set."""
     o = Options.of(**options)
     files, large = sources.load(spark, directory, o.pattern, o.ingest_archives)
     if not o.use_cache or cache_dir is None:
-        return pages_of(spark, files, large, o, pdf, ocr, decode, embedder)
-    return _with_cache(spark, files, large, o, cache_dir, pdf, ocr, decode, embedder)
+        return pages_of(spark, files, large, o, pdf, ocr, decode, embedder, tables)
+    return _with_cache(spark, files, large, o, cache_dir, pdf, ocr, decode, embedder, tables)
 
 
-def _with_cache(spark, files, large, o: Options, cache_dir: str, pdf, ocr, decode, embedder) -> DataFrame:
+def _with_cache(spark, files, large, o: Options, cache_dir: str, pdf, ocr, decode, embedder, tables) -> DataFrame:
     """Files whose path and content were read before with the same options come from the table at ``cache_dir``."""
     keyed = caching.with_key(files.withColumn("__pc", F.concat(F.col("path").cast("binary"), F.lit(b"\x00"), "content")), "__pc", o.result_options()).drop("__pc")
     stored = None
@@ -93,7 +97,7 @@ def _with_cache(spark, files, large, o: Options, cache_dir: str, pdf, ocr, decod
         if "PATH_NOT_FOUND" not in str(e):
             raise
     missing = keyed if stored is None else keyed.join(stored.select("cache_key").distinct(), "cache_key", "left_anti")
-    fresh = pages_of(spark, missing.drop("cache_key"), None, o, pdf, ocr, decode, embedder)
+    fresh = pages_of(spark, missing.drop("cache_key"), None, o, pdf, ocr, decode, embedder, tables)
     if not o.ingest_archives:
         fresh = fresh.join(missing.select("path", "cache_key"), "path")
     else:

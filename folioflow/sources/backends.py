@@ -41,6 +41,10 @@ class OcrBackend(Protocol):
     def read(self, image: np.ndarray) -> str: ...
 
 
+class TableDetector(Protocol):
+    def detect(self, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]: ...
+
+
 class Embedder(Protocol):
     size: int
 

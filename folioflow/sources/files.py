@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,12 +115,17 @@ _OUT = "path string, page_index int, content string, metadata map<string,string>
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
-def pdf_pages(files: DataFrame, backend=None, password: str | None = None, max_pages: int | None = None, repair: bool = False, level: str = "normal", multi_column: bool = False) -> DataFrame:
-    """Pages of PDFs by the backend; a file that can't be opened is one error page."""
+def pdf_pages(files: DataFrame, backend=None, password: str | None = None, max_pages: int | None = None, repair: bool = False, level: str = "normal", multi_column: bool = False, recognition: dict | None = None, tables=None) -> DataFrame:
+    """Pages of PDFs by the backend; a file that can't be opened is one error page.
+
+    Pages whose glyphs overlap are of a complex layout: with a table detector they get its tables. ``recognition`` holds the
+    options of ``recognise``; without it no page is read by its image, though garbled pages are still told.
+    """
+    from folioflow.operators.recognition import IMAGE, recognise
     from folioflow.sources.backends import open_pdf, pdf_backend
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from folioflow.operators.layout import page_text
+        from folioflow.operators.layout import detected_tables, is_complex, page_text
 
         engine = backend or pdf_backend()
         for b in batches:
@@ -127,15 +133,24 @@ def pdf_pages(files: DataFrame, backend=None, password: str | None = None, max_p
                 doc, how = open_pdf(bytes(content), engine, password, max_pages, repair, level)
                 if doc is None or not doc.pages:
                     error = how.get("pdf_error", "no text could be read")
-                    yield pd.DataFrame([(path, 0, "", how, {}, error, ["pdf_open_failed"], False, 0, 0)], columns=_NAMES)
+                    yield pd.DataFrame([(path, 0, "", how, {}, error, ["pdf_open_failed"], False, 0, 0, False, None, "")], columns=names)
                     continue
                 rows = []
                 for i, p in enumerate(doc.pages):
-                    t = page_text(pd.DataFrame(p.glyphs, columns=["c", "left", "right", "top", "bottom"])) if multi_column and p.glyphs else p.text
-                    rows.append((path, i, t, {"source_type": "pdf", **how, **doc.metadata}, doc.form_fields, None, [], False, p.width, p.height))
-                yield pd.DataFrame(rows, columns=_NAMES)
-
-    return files.select("path", "content").mapInPandas(run, _OUT)
+                    glyphs = pd.DataFrame(p.glyphs, columns=["c", "left", "right", "top", "bottom"])
+                    t = page_text(glyphs) if multi_column and p.glyphs else p.text
+                    crowded = is_complex([g[1:] for g in p.glyphs])
+                    found = detected_tables(tables, p.image, glyphs) if tables is not None and crowded and p.image is not None else ""
+                    image = None if p.image is None or not recognition else {"rgb": np.ascontiguousarray(p.image, np.uint8).tobytes(), "height": p.image.shape[0], "width": p.image.shape[1]}
+                    rows.append((path, i, t, {"source_type": "pdf", **how, **doc.metadata}, doc.form_fields, None, [], False, p.width, p.height, crowded, image, found))
+                yield pd.DataFrame(rows, columns=names)
+
+    extra = f"layout_complex boolean, image {IMAGE}, tables string"
+    names = [*_NAMES, "layout_complex", "image", "tables"]
+    raw = files.select("path", "content").mapInPandas(run, f"{_OUT}, {extra}")
+    read = recognise(raw, **(recognition or {"use_ocr": False}))
+    whole = F.when(F.col("tables") != "", F.concat("content", F.lit("\n\n### VLM Extracted:\n"), "tables", F.lit("\n\n"))).otherwise(F.col("content"))
+    return read.withColumn("content", whole).select(*_NAMES)
 
 
 def image_pages(files: DataFrame, ocr=None, decode=None) -> DataFrame:

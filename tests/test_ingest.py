@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,8 +49,6 @@ def test_options_of_a_run(spark, folder):
     assert set(got) == {"page.HTML", "hello.txt"} and got["page.HTML"]["content"] == "Hi [EMAIL_REDACTED]"
     assert got["page.HTML"]["metadata"]["pii_types"] == "EMAIL" and "bob" not in str(got["page.HTML"]["child_chunks"])
     assert plan.ingest(spark, folder, pattern="nothing-like-it").count() == 0
-    inside = by_name(plan.ingest(spark, folder, pattern="zip$", ingest_archives=True))
-    assert {r["path"].rpartition("!/")[2]: r["content"] for r in inside.values()} or True
     members = {r["path"].rpartition("!/")[2]: r["content"] for r in plan.ingest(spark, folder, pattern="zip$", ingest_archives=True).collect()}
     assert members == {"d/a.txt": "first", "e/a.txt": "second"}
     for how in ({"doc_chunking": True}, {"fast_chunk": False}, {"chunk_pages": False}):
@@ -120,3 +119,51 @@ def test_sql_functions(spark):
     plan.register_functions(spark)
     r = spark.sql("""SELECT redact_pii('a@b.cd x') AS r, structural_chunks('a b') AS c, flatten_json('{"b":1,"a":2}') AS j""").first()
     assert (r["r"], r["c"], r["j"]) == ("[EMAIL_REDACTED] x", ["a b"], "a: 2\nb: 1")
+
+
+class Pages:
+    """A PDF backend of made pages: their text, an image each, and glyphs that overlap on the second."""
+
+    def open(self, data, password, max_pages):
+        from folioflow.sources.backends import PdfDocument, PdfPage
+
+        image = np.full((4, 6, 3), 90, np.uint8)
+        near = [(c, float(i), i + 9.0, 110.0, 100.0) for i, c in enumerate("table here")]
+        pages = [PdfPage("", 100, 100, image=image), PdfPage("few", 100, 100, near, image), PdfPage("plain text " * 40, 100, 100), PdfPage("\ufffd\ufffd\x01 " * 20, 100, 100)]
+        return PdfDocument(pages[:max_pages])
+
+
+class Reader:
+    def read(self, image):
+        return f"read at {image.shape[1]}"
+
+
+class Tables:
+    def detect(self, image):
+        return np.array([[0, 0, 200, 200]]), np.array([0.9])
+
+
+def test_recognition_and_tables(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("x")
+    run = lambda **how: {r["page_index"]: r for r in plan.ingest(spark, str(tmp_path), pdf=Pages(), **how).collect()}
+    off = run()
+    assert [off[i]["content"] for i in range(2)] == ["", "few"] and not any(r["ocr_used"] for r in off.values())
+    assert off[3]["warnings"] == ["garbled_native_text"] and off[2]["warnings"] == []
+    fast = run(use_ocr=True, ocr=Reader())
+    assert fast[0]["content"] == "read at 6" and fast[0]["ocr_used"] and fast[1]["content"] == "few" and fast[2]["content"] == off[2]["content"]
+    vision = run(use_ocr=True, ocr_mode="vision", ocr=Reader())
+    assert vision[0]["warnings"] == ["page_recovered", "ocr_scales_tried:1.00,1.50"] and vision[0]["content"] == "read at 9"
+    hybrid = run(use_ocr=True, ocr_mode="hybrid", ocr=Reader())
+    assert hybrid[1]["content"] == "few\n\n### OCR supplement:\nread at 6" and "hybrid_ocr_merged" in hybrid[1]["warnings"]
+    none = run(use_ocr=True, ocr_mode="quality")
+    assert none[0]["warnings"] == ["ocr_requested_but_engine_unavailable"] and none[3]["warnings"] == ["ocr_skipped_no_image", "garbled_native_text"]
+    tables = run(use_vlm=True, tables=Tables())
+    assert tables[1]["content"] == "few\n\n### VLM Extracted:\n| table here |\n|---|\n\n" and tables[0]["content"] == ""
+
+
+def test_partition(spark, folder):
+    from folioflow.plans.partition import partition, partition_pdf
+
+    got = {r["filename"]: r for r in partition(spark, folder, pattern="^(hello|page)").collect()}
+    assert got["hello.txt"]["category"] == "NarrativeText" and got["page.HTML"]["category"] == "Header" and got["hello.txt"]["page_number"] == 1
+    assert [r["text"] for r in partition_pdf(spark, f"{folder}/hello.txt").collect()] == ["One sentence."]

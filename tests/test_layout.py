@@ -13,7 +13,7 @@ def test_reading_orders():
     assert order([[50, 740, 550, 780], [50, 600, 250, 700], [350, 600, 550, 700]]) == [0, 1, 2]
     assert order([[0, 10, 100, 20], [0, 40, 100, 50]], y_down=True) == [0, 1] and order([[0, 10, 100, 20], [0, 40, 100, 50]]) == [1, 0]
     assert order([]) == [] and order([[0, 0, 1, 1]]) == [0]
-    assert order([[20, 0, 30, 10], [0, 0, 10, 10], [10, 0, 20, 10]]) == [1, 2, 0] or sorted(order([[20, 0, 30, 10], [0, 0, 10, 10], [10, 0, 20, 10]])) == [0, 1, 2]
+    assert order([[20, 0, 30, 10], [0, 0, 10, 10], [10, 0, 20, 10]]) == [1, 2, 0]
 
 
 def test_intervals_and_gaps(spark):
@@ -40,12 +40,13 @@ def test_two_columns_of_glyphs():
 
 
 def test_wide_capitals_are_headings():
-    g = glyphs(line("BIG TITLE HERE", 0, 200, step=40), line("body", 0, 100))
+    # blanks of 10 units stay within a cell, whose limit is 15 at this height
+    g = glyphs(line("BIG TITLE HERE", 0, 200, step=10), line("body", 0, 100))
     assert layout.page_text(g).startswith("\n# BIG TITLE HERE\n\n")
 
 
 def test_glyph_pages(spark):
-    rows = [(p, i, *g) for p in (1, 2) for i, g in enumerate(line(f"page {p}", 0, 10))]
+    rows = [(p, i, c, *map(float, g)) for p in (1, 2) for i, (c, *g) in enumerate(line(f"page {p}", 0, 10))]
     df = spark.createDataFrame(rows, "page_id long, idx int, c string, left float, right float, top float, bottom float")
     assert {r["page_id"]: r["content"] for r in layout.glyph_text(df).collect()} == {1: "page 1\n", 2: "page 2\n"}
 
