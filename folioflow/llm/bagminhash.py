@@ -15,10 +15,13 @@ place in its process only, never on the document.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-BANDS, ROWS = 28, 5
+BANDS, ROWS = 24, 6
 M = BANDS * ROWS
 SHINGLE = 5
+#: Elements whose processes are drawn at once.
+PART = 100_000
 
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -33,35 +36,67 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-class WordHashes(dict):
-    """Word to a 64-bit hash; starts afresh when it has grown too large."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > self.LIMIT:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-def shingles(words: list[str], hashes: WordHashes) -> np.ndarray:
-    """The hashes of all shingles in sorted order, repeats included; a shorter text is one shingle of all its words."""
-    n = len(words)
-    if not n:
-        return np.empty(0, _U)
-    w = np.fromiter(map(hashes.__getitem__, words), _U, n)
-    k = min(SHINGLE, n)
-    s = np.full(n - k + 1, n if n < SHINGLE else 0, _U)
-    for i in range(k):
-        s += w[i : n - k + 1 + i] * _SHINGLE_MIX[i]
-    s = mix(s)
-    s.sort()
-    return s
+#: Bytes that are hashed at once; a word longer than that is hashed on its own.
+SLICE = 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x5851F42D4C957F2D
+
+
+def _powers(base: int) -> np.ndarray:
+    p = np.full(SLICE, base, _U)
+    p[0] = 1
+    return np.cumprod(p, dtype=_U)
+
+
+_BYTE = np.where(_SPACE, _U(0), mix(np.arange(1, 257, dtype=_U)))
+_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit hashes of the words of UTF-8 bytes: polynomials over their bytes, summed for all words at once."""
+    b, at, places, hashes = np.frombuffer(data, np.uint8), 0, [], []
+    while at < len(b):
+        part = b[at : at + SLICE]
+        gap = _SPACE[part]
+        if at + SLICE < len(b) and not _SPACE[b[at + SLICE]]:
+            ends = np.flatnonzero(gap)
+            if not len(ends):
+                end = at + SLICE
+                while end < len(b) and not _SPACE[b[end : end + SLICE]].any():
+                    end += SLICE
+                end = end + int(_SPACE[b[end : end + SLICE]].argmax()) if end < len(b) else len(b)
+                places.append(np.array([at]))
+                hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end])], _U))
+                at = end
+                continue
+            part, gap = part[: ends[-1] + 1], gap[: ends[-1] + 1]
+        begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+        if len(begins):
+            places.append(begins + at)
+            hashes.append(mix(np.add.reduceat(_BYTE[part] * _POWERS[: len(part)], begins) * _INVERSE[begins]))
+        at += len(part)
+    return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, _U))
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of all shingles of each text in sorted order, repeats included; a shorter text is one shingle of all its words."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    places, h = hashed_words(b"\n".join(data))
+    first = np.searchsorted(places, np.cumsum([0] + [len(d) + 1 for d in data])).tolist()
+    rolled = np.zeros(max(0, len(h) - SHINGLE + 1), _U)
+    for i in range(SHINGLE):
+        rolled += h[i : len(rolled) + i] * _SHINGLE_MIX[i]
+    out = []
+    for a, b in zip(first, first[1:]):
+        n = b - a
+        if n >= SHINGLE:
+            s = mix(rolled[a : b - SHINGLE + 1])
+            s.sort()
+        else:
+            s = mix((h[a:b] * _SHINGLE_MIX[:n]).sum(keepdims=True, dtype=_U) + _U(n)) if n else np.empty(0, _U)
+        out.append(s)
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,14 +115,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: list[np.ndarray], m: int = M) -> np.ndarray:
-    """(documents, m) first points as 64-bit words; documents are sorted shingle arrays and not empty."""
-    els, ws, ids = [], [], []
+    """(documents, m) first points as 64-bit words; documents are sorted shingle arrays and not empty.
+
+    Elements are drawn in parts of at most ``PART``, so that a long document takes no more memory than a short one: a part begins
+    with the first points of those before it, which decide how long its processes are followed and nothing else.
+    """
+    h = np.full(len(docs) * m, np.inf)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for i, s in enumerate(docs):
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        els.append(s[starts])
-        ws.append(np.diff(np.append(starts, len(s))))
-        ids.append(np.full(len(starts), i, np.int64))
-    el, w, doc = np.concatenate(els), np.concatenate(ws), np.concatenate(ids)
+        el, w = s[starts], np.diff(np.append(starts, len(s)))
+        for k in range(0, len(el), PART):
+            held.append((el[k : k + PART], w[k : k + PART], np.full(min(PART, len(el) - k), i, np.int64)))
+            size += len(held[-1][0])
+            if size >= PART:
+                _draw(h, m, *map(np.concatenate, zip(*held)))
+                held, size = [], 0
+    if held:
+        _draw(h, m, *map(np.concatenate, zip(*held)))
+    return h.view(_U).reshape(len(docs), m)
+
+
+def _draw(h: np.ndarray, m: int, el: np.ndarray, w: np.ndarray, doc: np.ndarray) -> None:
+    """Lowers the first points ``h`` of all documents' components by the processes of some elements."""
     # one process by element and level whose lower end lies below the weight
     parts, level, low = [], 0, 0
     at = np.arange(len(el))
@@ -97,7 +148,6 @@ def signatures(docs: list[np.ndarray], m: int = M) -> np.ndarray:
         low, level = (1, 1) if level == 0 else (low * 2, level + 1)
         at = at[w[at] > low]
     state, doc, w, lows, length = (np.concatenate(x) for x in zip(*parts))
-    h = np.full(len(docs) * m, np.inf)
     now, step, drawn = np.zeros(len(state)), 1, 0
     while len(state):
         j = np.arange(drawn + 1, drawn + step + 1, dtype=_U) * _GOLD
@@ -123,7 +173,6 @@ def signatures(docs: list[np.ndarray], m: int = M) -> np.ndarray:
         state, doc, w, lows, length, now = state[go], doc[go], w[go], lows[go], length[go], now[go]
         drawn += step
         step = min(step * 2, 256)
-    return h.view(_U).reshape(len(docs), m)
 
 
 def bands(sig: np.ndarray, n: int = BANDS) -> np.ndarray:

@@ -1,20 +1,24 @@
 """Near-duplicate removal: BagMinHash signatures, banding, verified multiset overlap, connected groups.
 
 Two texts are near copies if the weighted Jaccard similarity of their five-word shingle multisets is at least
-``THRESHOLD``. Equal texts are one node from the start (the first 16 bytes of the SHA-256 of the text), so copies are
-never expanded. 28 bands of 5 rows let a pair at 0.8 slip with a probability of about 2e-5.
-
-No bucket is expanded into its pairs, none is capped and none is gathered in a task. In each round every bucket has
-leaders, 1, then 16, 256 and so on, and its members are verified against them only. A member that matches a leader C
-leaves the bucket unless a link of its own could get lost, which the triangle inequality of the Jaccard distance tells:
-if some unmatched B lies at distance b from C, a match at distance a may be linked to B only if a >= b - (1 - THRESHOLD).
-Any two linked texts that share a bucket thus end in one group. A bucket of near copies is done after one
-round; rounds go on until no bucket holds two unsettled members.
-
-Verification first compares signatures, which settles pairs that are far apart, then joins the others with shingle arrays of those texts alone that share a bucket; leaders of many members are
-salted. The arrays hold 32 bits of each shingle's hash: two texts of a thousand words take one shingle for another with
-a probability of about 2e-4, which moves their similarity by 0.001 at most. Groups are found by spreading the least node over the links with pointer jumping. What is reused lies in
-reliable checkpoints. Only tables whose rows were counted first are broadcast.
+``THRESHOLD``. Equal texts are one node from the start (the first 16 bytes of the SHA-256 of the text, then a dense number
+given once and stored), so copies are never expanded. 24 bands of 6 rows let a pair at 0.8 slip with a probability of 7e-4, one
+at 0.85 with 6e-6.
+
+A bucket is never expanded into its pairs, capped or gathered in a task. In each round it has leaders, 1, then 16, 256 and
+so on, and only members of another group than a leader's are compared with it; a leader then leaves the bucket, all its
+links there being known. Links join groups, and a bucket is done when its members are of one group. So a bucket of near copies
+costs about one comparison a member, and texts that share a bucket and are linked end in one group always. The first leader
+is the least node, an aggregate with partial results; later ones are ranked behind a limit that Spark applies before it
+shuffles; joins on a hot bucket are split by adaptive execution, as no state is kept by bucket. A bucket of texts that are *not* linked
+does cost one comparison of 64-byte sketches for each two of them, in the rounds' portions; of those only pairs that may
+match are ever stored.
+
+A comparison first takes the sketches, one bit for each of 512 BagMinHash places, which settle pairs that are far apart
+(five standard deviations under the threshold), then the shingle arrays of the two texts.
+The arrays hold 32 bits of each shingle's hash: two texts of a thousand words take one shingle for another with
+a probability of about 2e-4, which moves their similarity by 0.001 at most. Groups are found by spreading the least node over
+the links with pointer jumping. What is reused lies in reliable checkpoints. Only tables whose rows were counted first are broadcast.
 
 Defined results. A text of one to four words is one shingle; null texts and texts without words are never duplicates,
 each row is its own class. Ids may be null or repeated: classes are of texts, a class takes its least id (null only if
@@ -25,9 +29,7 @@ whatever their names.
 from __future__ import annotations
 
 import gc
-import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,48 +39,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bagminhash as bag
-from folioflow.llm.common import WORD, cut, table
+from folioflow.llm.common import WORD, bounded_batches, cut, table
 
 THRESHOLD = 0.8
-BATCH_DOCS = 128
+#: Texts, and characters, that are worked on at once; a longer text is one batch.
+BATCH_DOCS, BATCH_CHARS = 128, 1 << 20
 BROADCAST_ROWS = 200_000
-#: Members of one leader that share a copy of its shingles when pairs are verified.
-SALT_ROWS = 2_000
-#: Five standard deviations of a signature's estimate at the threshold.
-DOUBT = 0.17
-
-_WORD = re.compile(WORD)
-_hashes = bag.WordHashes()
+#: Places of a sketch, and five standard deviations of the similarity it tells at the threshold.
+BITS = 512
+DOUBT = 5 * 2 * (0.9 * 0.1 / BITS) ** 0.5
 
 
-def _shingles(text: str) -> np.ndarray:
-    return bag.shingles(_WORD.findall(text), _hashes)
+def _batches(texts: pd.Series) -> Iterator[list[str]]:
+    held, chars = [], 0
+    for t in texts:
+        held.append(t)
+        chars += len(t)
+        if len(held) == BATCH_DOCS or chars >= BATCH_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def _node(text):
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The number of shingles, the bucket keys and a byte of each place of the signature; texts without words have none."""
+def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The bucket keys of each text; none for texts without words."""
     for b in batches:
-        for at in range(0, len(b), BATCH_DOCS):
-            sets = [_shingles(t) for t in b.iloc[at : at + BATCH_DOCS]]
-            kept = [i for i, s in enumerate(sets) if len(s)]
-            keys, short = [np.empty(0, np.int64)] * len(sets), [b""] * len(sets)
-            if kept:
-                found = bag.signatures([sets[i] for i in kept])
-                low = (bag.mix(found) & np.uint64(255)).astype(np.uint8)
-                for i, k, x in zip(kept, bag.bands(found), low):
-                    keys[i], short[i] = k, x.tobytes()
-            yield pd.DataFrame({"n": [len(s) for s in sets], "bands": keys, "sig": short})
+        out = []
+        for part in _batches(b):
+            sets = bag.shingle_sets(part)
+            full = [s for s in sets if len(s)]
+            keys = iter(bag.bands(bag.signatures(full)) if full else ())
+            out += [next(keys) if len(s) else np.empty(0, np.int64) for s in sets]
+        yield pd.Series(out, dtype="object")
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What comparisons need of a text: the number of its shingles, their hashes and its sketch."""
     for b in batches:
-        for at in range(0, len(b), BATCH_DOCS):
-            part = b.iloc[at : at + BATCH_DOCS]
-            yield pd.DataFrame({"node": part["node"], "grams": [(_shingles(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in part["text"]]})
+        at = 0
+        for part in _batches(b["text"]):
+            sets = bag.shingle_sets(part)
+            bits = np.packbits((bag.mix(bag.signatures(sets, BITS)) & np.uint64(1)).astype(bool), axis=1)
+            yield pd.DataFrame({
+                "num": b["num"].iloc[at : at + len(part)], "n": [len(s) for s in sets], "sketch": [x.tobytes() for x in bits],
+                "grams": [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets],
+            })
+            at += len(part)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -88,11 +99,11 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The similarity by the shares of equal bytes of two signatures, less what bytes agree by chance."""
+    """The similarity that two sketches tell: bits agree in all common places and in half of the others."""
     if not len(a):
         return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, bag.M) for c in (a, b))
-    return pd.Series(((x == y).mean(1) - 1 / 256) * (256 / 255))
+    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BITS // 8) for c in (a, b))
+    return pd.Series(1 - 2 * np.bitwise_count(x ^ y).sum(1) / BITS)
 
 
 def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -106,65 +117,58 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _verify(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their similarity. Both sides are joined by node; a leader's shingles are salted."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("salts"))
-    p = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
-    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(salts, "a")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    return cut(p.join(right, "b").join(left, ["a", "salt"]).select("a", "b", _similarity("ga", "gb").alias("s")))
-
-
-def _judge(pairs: DataFrame, grams: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with their similarity where it may reach the threshold, else with an upper bound that doesn't.
-
-    Signatures, 140 bytes each, tell the similarity to within ``DOUBT``, five standard deviations; only pairs that may
-    match carry their shingles.
-    """
-    a, b = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    told = cut(pairs.join(a, "a").join(b, "b").select("a", "b", (_estimate("sa", "sb") + DOUBT).alias("most")))
-    exact = _verify(told.where(F.col("most") >= threshold).select("a", "b"), grams)
-    return exact.unionByName(told.where(F.col("most") < threshold).select("a", "b", F.col("most").alias("s")))
+def _verify(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are linked. Both sides are joined by number; a text of very many pairs is split by adaptive execution."""
+    left, right = grams.select(F.col("num").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("num").alias("b"), F.col("grams").alias("gb"))
+    return pairs.join(right, "b").join(left, "a").where(_similarity("ga", "gb") >= threshold)
 
 
-def links(members: DataFrame, grams: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """Verified pairs (a, b) that join all linked texts of every bucket; members are rows (bucket, node, n)."""
-    far = 1.0 - threshold
-    least = 1.0 - 2 * far
-    active, verified, leaders_n = members, [], 1
+def labels(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(num, label) of all linked texts that share a bucket; members are rows (bucket, num, first), first being the bucket's least."""
+    known = grams.select("num", F.col("num").alias("label"), "n", "sketch")
+    active, leaders_n, found = cut(members.join(known, "num")), 1, None
     while not active.isEmpty():
+        lead = None
         if leaders_n == 1:
-            first = active.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"))
-            leaders = first.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"))
+            leaders, others = active.where("num = first"), active.where("num <> first")
         else:
-            rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-            leaders = active.withColumn("k", rank).where(F.col("k") <= leaders_n).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"))
-        compared = cut(active.join(leaders, "bucket").where("a < node").withColumnRenamed("node", "b"))
+            counts = active.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+            # the largest group of a bucket leads nothing: the others are compared with it
+            largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most")).select("bucket", F.col("most.label").alias("main"))
+            rank = F.row_number().over(W.partitionBy("bucket").orderBy("num"))
+            leaders = cut(active.join(largest, "bucket").where("label <> main").withColumn("k", rank).where(F.col("k") <= leaders_n))
+            lead = leaders.select("bucket", "num", F.lit(True).alias("leads"))
+            others = active.join(lead, ["bucket", "num"], "left")
+        leaders = leaders.select("bucket", F.col("num").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        both = others.join(leaders, "bucket").where("label <> la")
+        if lead is not None:
+            both = both.where("leads is null or a < num")
         # similarity is at most the ratio of the sizes
-        pairs = compared.where(F.least("n", "na") >= F.lit(least) * F.greatest("n", "na")).select("a", "b").distinct()
-        found = _judge(pairs, grams, sigs, threshold)
-        verified.append(found.where(F.col("s") >= threshold).select("a", "b"))
-        d = 1.0 - F.col("s")
-        judged = compared.join(found, ["a", "b"], "left").withColumn("d", F.when(F.col("s") >= least, d))
-        near = judged.groupBy("bucket", "a").agg(F.min(F.when(F.col("s") < threshold, F.col("d"))).alias("near"))
-        judged = judged.join(near, ["bucket", "a"])
-        settled = (F.col("s") >= threshold) & (F.col("near").isNull() | (F.col("d") < F.col("near") - far - 1e-9))
-        rest = judged.groupBy("bucket", "b", "n").agg(F.max(F.coalesce(settled, F.lit(False))).alias("settled")).where(~F.col("settled"))
-        if leaders_n > 1:
-            rest = rest.join(leaders.select("bucket", F.col("a").alias("b")), ["bucket", "b"], "left_anti")
-        rest = rest.select("bucket", F.col("b").alias("node"), "n")
-        open_ = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-        active = cut(rest.join(open_, "bucket", "left_semi"))
+        near = both.where(F.least("n", "na") >= F.lit(threshold) * F.greatest("n", "na")).where(_estimate("sketch", "sa") >= threshold - DOUBT)
+        ends = F.array_sort(F.array(F.struct(F.col("a").alias("x"), F.col("la").alias("l")), F.struct(F.col("num").alias("x"), F.col("label").alias("l"))))
+        near = near.select(ends.alias("e")).select(F.col("e")[0]["x"].alias("a"), F.col("e")[1]["x"].alias("b"), F.col("e")[0]["l"].alias("la"), F.col("e")[1]["l"].alias("lb"))
+        links = cut(_verify(near.distinct(), grams, threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        joined = components(links)
+        rest = others if lead is None else others.where("leads is null").drop("leads")
+        if joined is not None:
+            step = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            rest = rest.join(step, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+            # a label is a number of its group, so the groups so far are relabelled and the new ones added
+            found = joined if found is None else found.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined.join(found.select("node"), "node", "left_anti"))
+            found = cut(found)
+        open_ = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        active = cut(rest.join(open_, "bucket", "left_semi").select(active.columns))
         leaders_n *= 16
         # the round's shuffle files can go; they do once the driver has collected what stood for them
-        del compared, pairs, judged, near, rest, open_, leaders
+        del leaders, lead, others, both, near, links, joined, rest, open_
         _release(active)
-    return reduce(DataFrame.unionByName, verified).distinct() if verified else None
+    return found
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected group, for the nodes of (a, b)."""
+def components(edges: DataFrame) -> DataFrame | None:
+    """(node, label): the least node of each connected group, for the nodes of (a, b); None without edges."""
+    if edges.isEmpty():
+        return None
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
@@ -179,30 +183,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(node, least_id, keeps) of every text that shares its class; one text of a class, the least by id and node, keeps."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("node", _node(F.col("text")))
-    sketch = F.pandas_udf(_sketch, "n long, bands array<long>, sig binary")
-    sketched = rows.select("id", "node", sketch("text").alias("s")).select("id", "node", "s.n", "s.bands", "s.sig")
-    reps = cut(sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("n > 0"))
-    members = reps.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = cut(members.join(shared, "bucket", "left_semi"))
-    asked = cut(members.select("node").distinct().join(reps.select("node", F.col("id").alias("rep"), "sig"), "node"))
-    few = _few(asked.select("node", "rep"))
-    texts = rows.join(few.withColumnRenamed("node", "asked"), (F.col("node") == F.col("asked")) & F.col("id").eqNullSafe(F.col("rep")))
-    grams = cut(texts.select("node", "text").mapInPandas(_grams, "node binary, grams binary").dropDuplicates(["node"]))
+    sketched = rows.select("id", "node", F.pandas_udf(_bands, "array<long>")("text").alias("bands"))
+    reps = sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).where(F.size("bands") > 0)
+    reps = cut(reps.withColumn("num", F.monotonically_increasing_id()))
+    members = reps.select("num", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("num").alias("first"), F.max("num").alias("last")).where("first < last").select("bucket", "first")
+    members = cut(members.join(shared, "bucket"))
+    asked = cut(reps.join(members.select("num").distinct(), "num", "left_semi").select("num", F.col("node").alias("asked"), F.col("id").alias("rep")))
+    few = _few(asked)
+    texts = rows.join(few, (F.col("node") == F.col("asked")) & F.col("id").eqNullSafe(F.col("rep")))
+    # an id may have its text more than once
+    grams = cut(texts.select("num", "text").mapInPandas(_grams, "num long, n long, sketch binary, grams binary").dropDuplicates(["num"]))
     del few, shared, texts
     _release(grams)
-    found = links(members, grams, asked, threshold)
-    multi = reps.where("copies > 1").select("node", F.col("id").alias("least_id"), F.lit(True).alias("keeps"))
+    found = labels(members, grams, threshold)
+    multi = reps.where("copies > 1").select("num", "node", F.col("id").alias("least_id"), F.lit(True).alias("keeps"))
     if found is None:
-        return cut(multi)
-    labels = components(found)
-    ids = labels.join(reps.select("node", "id"), "node")
+        return cut(multi.drop("num"))
+    ids = found.withColumnRenamed("node", "num").join(reps.select("num", "node", "id"), "num")
     # null ids last; ids may repeat among the texts of a class, nodes don't
     group = ids.groupBy("label").agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "node")).alias("least")).select("label", F.col("least.id").alias("least_id"), F.col("least.node").alias("keeper"))
-    linked = cut(ids.join(group, "label").select("node", "least_id", (F.col("node") == F.col("keeper")).alias("keeps")))
-    return cut(multi.join(linked.select("node"), "node", "left_anti").unionByName(linked))
+    linked = ids.join(group, "label").select("num", "node", "least_id", (F.col("node") == F.col("keeper")).alias("keeps"))
+    linked = cut(linked)
+    return cut(multi.join(linked.select("num"), "num", "left_anti").unionByName(linked).drop("num"))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "dup", threshold: float = THRESHOLD) -> DataFrame:

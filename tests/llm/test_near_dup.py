@@ -111,3 +111,47 @@ def test_query_equals_all_links(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert {r["doc_id"]: r["class_id"] for r in nd.query(spark, d).collect()} == brute(docs)
+
+
+def test_shingles_are_those_of_the_words(monkeypatch):
+    texts = ["", " \n", "a", "a b c d", "a b c d e", "é\u3000x 中文 😀 a\x0bb\x1cc", "w" * 90, *(t for _, t in corpus(2, 10))]
+    whole = bag.shingle_sets(texts)
+    for t, s in zip(texts, whole):
+        assert sorted(grams(t).values()) == sorted(np.unique(s, return_counts=True)[1].tolist())
+    of = {}
+    for t, s in zip(texts, whole):
+        for one in grams(t):
+            of.setdefault(one, bag.shingle_sets([" ".join(one)])[0][0])
+        assert sorted(of[g] for g, k in grams(t).items() for _ in range(k)) == s.tolist()
+    # wherever the bytes are cut; longer words are hashed on their own, and alike in any text
+    monkeypatch.setattr(bag, "SLICE", 16)
+    cut = bag.shingle_sets(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:5], cut)) and np.array_equal(cut[6], bag.shingle_sets([texts[6]])[0])
+
+
+def test_a_long_text_is_drawn_in_parts(monkeypatch):
+    r = np.random.default_rng(5)
+    sets = [np.sort(r.integers(0, 5000, k).astype(np.uint64)) for k in (20_000, 3, 700)]
+    whole = bag.signatures(sets)
+    monkeypatch.setattr(bag, "PART", 64)
+    assert np.array_equal(bag.signatures(sets), whole)
+
+
+def test_bands_find_what_is_similar():
+    """Of pairs at a similarity of about 0.8, all but 7e-4 share a bucket: of 1500 at most a handful doesn't."""
+    r, lost, n = np.random.default_rng(6), 0, 0
+    for _ in range(1500):
+        e = r.integers(0, 2**63, 111).astype(np.uint64)
+        a, b = np.sort(e[:100]), np.sort(e[11:])
+        if bag.similarity(a, b) >= 0.8:
+            n += 1
+            lost += not (bag.bands(bag.signatures([a, b]))[0] == bag.bands(bag.signatures([a, b]))[1]).any()
+    assert n == 1500 and lost <= 6
+
+
+def test_a_bucket_of_many_groups(spark):
+    # members of one bucket that form several groups, the largest of them not the first
+    core = " ".join(f"c{j}" for j in range(90))
+    rows = [(i, core + f" {'x y z u v'.split()[i % 5]}{i % 5} " + " ".join(f"t{i % 5}_{j}" for j in range(28)) + f" e{i}") for i in range(60)]
+    got = nd.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["dup"]["class_id"] for r in got} == brute(rows) and len(set(brute(rows).values())) == 5
