@@ -6,18 +6,22 @@ the rest comes from an order without replacement in which a document of weight w
 hash of its id: the smallest keys whose running size fits the rest. The document on the boundary is taken if that
 brings the source nearer to its target.
 
-Plan: one aggregate by source (partial sums, so a hot source is no hot task), the targets over the few source rows,
-and a running sum in two levels: every source is cut into ``bins`` key ranges, so that a hot source is summed by many
-tasks; only the ranges' totals are summed by source. No user functions.
+Plan: one aggregate by source (partial sums, so a hot source is no hot task), the targets over the source rows,
+and a running sum in two levels: every source is cut into key ranges of equal width on the scale of the keys' logarithm, where a
+common factor of all weights only shifts them, so that a hot source is summed by many tasks; only the ranges' totals are summed
+by source. There are more ranges the more rows there are: one holds about ``BIN_ROWS`` at most. Where the text isn't passed on,
+sizes and keys are stored and every text is split once. No user functions.
 
 Defined results. Null text: size 0, takes 0. Null source: a source of its own, last in the order of weights.
 Ties: equal keys are ordered by id, then size; rows equal in all of them share their order, whichever comes first
-(the multiset of results is the same). Null weights count as 1, weights are clamped to [1, 16]. Empty table: empty
-result. Columns of the input with any names are passed on; the operator's own sit in the struct ``out``.
+(the multiset of results is the same). Weights may be any positive numbers on any scale; null ones and such as aren't
+positive and finite count as 1. Empty table: empty result. Columns of the input with any names are passed on; the operator's own sit in the struct ``out``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +31,8 @@ from folioflow.llm.common import WORD, cut, table, words
 SHARE = 1.5
 MAX_EPOCHS = 2
 WEIGHTS = (5, 2, 1)
-#: Key ranges by source for the running sums.
-BINS = 1024
+#: Key ranges for each unit of the keys' logarithm at least, and the rows of one range beyond which there are more of them.
+BINS, BIN_ROWS = 128, 1_000_000
 #: Rows of (source, key range) up to which they are broadcast; about 100 bytes each.
 BROADCAST_ROWS = 100_000
 SEED = "mix-1"
@@ -75,21 +79,29 @@ def mix(
     source: str = "source",
     weight: str | None = None,
     out: str = "mix",
-    bins: int = BINS,
+    bins: int | None = None,
+    keep: list[str] | None = None,
     **how,
 ) -> DataFrame:
-    """All columns of ``docs`` and a struct ``out`` of size, source_size, target and taken (words, repeats counted).
+    """All columns of ``docs``, or those to ``keep``, and a struct ``out`` of size, source_size, target and taken (words, repeats counted).
 
     ``weight`` names a column of quality weights; without one, ``lexical_weight`` of the text is used.
     """
     names = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
+    keep = docs.columns if keep is None else keep
+    # at most 4 in 1000 rows of a source have keys within a 1/BINS of the scale
+    bins = bins or max(BINS, math.ceil(BINS * 0.004 * docs.count() / BIN_ROWS))
     ws = words(F.col(names[text]))
     rows = docs.toDF(*names.values())
     rows = rows.withColumn("__words", ws)
-    w = F.col(names[weight]).cast("double") if weight else lexical_weight(F.col("__words"))
-    w = F.greatest(F.lit(1.0), F.least(F.lit(16.0), F.coalesce(w, F.lit(1.0))))
+    w = lexical_weight(F.col("__words"))
+    if weight:
+        given = F.col(names[weight]).cast("double")
+        w = F.when((given > 0) & (given < float("inf")), given).otherwise(1.0)
     rows = rows.withColumns({"size": F.size("__words").cast("long"), "key": -F.log(_uniform(F.col(names[id_col]))) / w}).drop("__words")
-    rows = rows.withColumns({"__s": F.col(names[source]).cast("string"), "__b": F.floor((1 - F.exp(-F.col("key"))) * bins).cast("long")})
+    rows = rows.withColumns({"__s": F.col(names[source]).cast("string"), "__b": F.floor(F.log("key") * bins).cast("long")})
+    if text not in keep:
+        rows = cut(rows.select(*{names[c]: None for c in [*keep, id_col]}, "size", "key", "__s", "__b"))
 
     # one pass over the texts: sizes by source and key range, in reliable storage as both later steps read them
     fine = cut(rows.groupBy("__s", "__b").agg(F.sum("size").alias("bin_size")))
@@ -112,11 +124,11 @@ def mix(
     picked = (over <= 0) | (over < under)
     taken = F.col("size") * (F.col("epochs") + F.when(picked, 1).otherwise(0))
     digest = F.struct("size", "source_size", "target", taken.cast("long").alias("taken"))
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()], digest.alias(out))
+    return rows.select(*[F.col(names[c]).alias(c) for c in keep], digest.alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "mix.*")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"]).select("doc_id", "mix.*")
 
 
 #: Continues a common table expression ``docs`` (doc_id, text, source).

@@ -72,3 +72,18 @@ def test_odd_tables(spark):
     assert [tuple(r["mix"]) for r in got] == [(0, 0, 0.0, 0)] * 3
     one = mx.mix(spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s")], t)).collect()
     assert sorted(r["mix"]["taken"] for r in one) == [2, 4]
+
+
+def test_weights_on_any_scale(spark):
+    rows = [(i, "one two", "s", 0.05 if i % 2 else 0.8) for i in range(2000)] + [(5000 + i, "a", "t", w) for i, w in enumerate([None, 0.0, -1.0, math.nan, math.inf])]
+    t = "doc_id long, text string, source string, q double"
+    taken = lambda k: {r["doc_id"]: r["mix"]["taken"] for r in mx.mix(spark.createDataFrame([(*r[:3], r[3] and r[3] * k) for r in rows], t), weight="q", share=0.5).collect() if r["source"] == "s"}
+    one = taken(1.0)
+    assert sum(n > 0 for i, n in one.items() if i % 2 == 0) > 850 and one == taken(1e6) == taken(1e-6)
+
+
+def test_kept_columns_change_nothing(spark):
+    df = spark.createDataFrame(corpus(5), "doc_id long, text string, source string, size string")
+    slim = mx.mix(df, keep=["doc_id"])
+    assert slim.columns == ["doc_id", "mix"]
+    assert sorted(slim.collect(), key=str) == sorted(mx.mix(df).select("doc_id", "mix").collect(), key=str)
