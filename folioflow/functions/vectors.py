@@ -19,9 +19,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, _dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def adjacent(df: DataFrame, order: str, vector: str, key: list[str] | None = None, out: str = "similarity") -> DataFrame:
-    """Each row's similarity to the one before it; null at the first."""
-    before = F.lag(vector).over((W.partitionBy(*key) if key else W.partitionBy(F.lit(0))).orderBy(order))
+def adjacent(df: DataFrame, order: str, vector: str, key: list[str], out: str = "similarity") -> DataFrame:
+    """Each row's similarity to the one before it with the same key; null at the first. Keys spread the work, so there is no form without."""
+    before = F.lag(vector).over(W.partitionBy(*key).orderBy(order))
     df = df.withColumn("__before", before)
     return df.withColumn(out, F.when(F.col("__before").isNotNull(), cosine(F.col("__before"), F.col(vector)))).drop("__before")
 
@@ -34,6 +34,11 @@ def mean_pool(vectors: Column) -> Column:
     return F.transform(total, lambda x: x / n)
 
 
+def mean_by(df: DataFrame, key: list[str], vector: str) -> DataFrame:
+    """(key, i, x): the mean vector of each key by element. Sums are partial, so no group is gathered."""
+    return df.select(*key, F.posexplode(vector).alias("i", "x")).groupBy(*key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+
+
 def semantic_chunks(sentences: DataFrame, key: list[str], size: int, threshold: float = SIMILAR) -> DataFrame:
     """Rows (key, i, sentence, embedding) to (key, chunks): a chunk ends where neighbours differ or it would exceed ``size``.
 

@@ -210,7 +210,27 @@ def pii_tag(spark, d):
     return _sanitized(spark, d, "tag").select("doc_id", "pii.text", "pii.n")
 
 
-@_register("pii_mask")
+def _mask_sql(kind: str) -> str:
+    if kind == "EMAIL":
+        return "substr(h, 1, 1) || '***' || substr(h, instr(h, '@'))"
+    if kind == "PHONE":
+        digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+        return f"CASE WHEN length({digits}) >= 4 THEN '***-***-' || right({digits}, 4) ELSE '***' END"
+    return "CASE WHEN strlen(h) <= 4 THEN '****' ELSE substr(h, 1, 2) || '****' END"
+
+
+def _masked_sql() -> str:
+    """The steps of masking: each hit is rewritten on its own and put back between what splitting leaves."""
+    parts = ["t0 AS (SELECT doc_id, text AS o, text AS t, 0 AS n FROM documents)"]
+    for i, k in enumerate(_KINDS):
+        p = _re2(k)
+        parts.append(f"m{i} AS (SELECT *, CASE WHEN regexp_matches(o, '{p}') THEN regexp_extract_all(t, '{p}') ELSE [] END AS hs FROM t{i})")
+        parts.append(f"p{i} AS (SELECT *, CASE WHEN len(hs) > 0 THEN string_split_regex(t, '{p}') ELSE [t] END AS ps, list_transform(hs, lambda h: {_mask_sql(k)}) AS ms FROM m{i})")
+        parts.append(f"t{i + 1} AS (SELECT doc_id, o, array_to_string(list_transform(range(1, len(ps) + 1), lambda j: ps[j] || coalesce(ms[j], '')), '') AS t, n + len(hs) AS n FROM p{i})")
+    return "WITH " + ",\n".join(parts)
+
+
+@_register("pii_mask", _masked_sql() + f" SELECT doc_id, t AS text, n::INTEGER AS n FROM t{len(_KINDS)}")
 def pii_mask(spark, d):
     return _sanitized(spark, d, "mask").select("doc_id", "pii.text", "pii.n")
 
@@ -222,42 +242,36 @@ def pii_summary(spark, d):
 
 # ---- chunks --------------------------------------------------------------------------------------------------------
 
-_PLAIN = "NOT contains(content, '|') AND NOT contains(content, '### VLM Extracted:') AND NOT contains(content, '**Tableau Extrait')"
-
-
-@_register("fast_chunks", f"WITH {_HTML}, c AS (SELECT page_id, {_pack_sql(_PARAS, SIZE)} AS cs FROM h WHERE {_PLAIN}) SELECT page_id, (unnest(range(len(cs))))::INTEGER AS chunk_index, unnest(cs) AS chunk FROM c")
-def fast_chunks(spark, d):
-    got = chunking.fast_chunks(_pages(spark, d).where(~chunking.needs_structure(F.col("content"))), "content", SIZE)
-    return got.select("page_id", F.posexplode("chunks").alias("chunk_index", "chunk"))
-
-
-@_register("fast_chunks_tables")
-def fast_chunks_tables(spark, d):
-    """The pages with tables, which go to the structural splitter."""
-    got = chunking.fast_chunks(_pages(spark, d).where(chunking.needs_structure(F.col("content"))), "content", SIZE)
-    return got.select("page_id", F.posexplode("chunks").alias("chunk_index", "chunk"))
-
-
-def _children(pages: DataFrame) -> DataFrame:
-    kids = chunking.child_chunks(chunking.fast_chunks(pages, "content", SIZE), CHILD)
-    return kids.select("page_id", F.explode("child_chunks").alias("c")).select("page_id", "c.parent_index", "c.text")
+@_register("paragraph_chunks", f"WITH {_HTML}, c AS (SELECT page_id, {_pack_sql(_PARAS, SIZE)} AS cs FROM h) SELECT page_id, (unnest(range(len(cs))))::INTEGER AS chunk_index, unnest(cs) AS chunk FROM c")
+def paragraph_chunks(spark, d):
+    """The paragraph packer on every page, whatever it holds."""
+    return _pages(spark, d).select("page_id", F.posexplode(chunking.paragraph_chunks(F.col("content"), SIZE)).alias("chunk_index", "chunk"))
 
 
 @_register(
-    "child_chunks",
-    f"""WITH {_HTML}, c AS (SELECT page_id, {_pack_sql(_PARAS, SIZE)} AS cs FROM h WHERE {_PLAIN}),
+    "paragraph_children",
+    f"""WITH {_HTML}, c AS (SELECT page_id, {_pack_sql(_PARAS, SIZE)} AS cs FROM h),
 x AS (SELECT page_id, (unnest(range(len(cs))))::INTEGER AS parent_index, unnest(cs) AS content FROM c),
 y AS (SELECT page_id, parent_index, {_pack_sql(_PARAS, CHILD)} AS ks FROM x)
 SELECT page_id, parent_index, unnest(ks) AS text FROM y""",
 )
-def child_chunks(spark, d):
-    return _children(_pages(spark, d).where(~chunking.needs_structure(F.col("content"))))
+def paragraph_children(spark, d):
+    """The packer on each of its own chunks."""
+    rows = text.fenced(_pages(spark, d).withColumn("chunks", chunking.paragraph_chunks(F.col("content"), SIZE)), "chunks").select("page_id", F.posexplode("chunks").alias("parent_index", "chunk"))
+    return rows.select("page_id", "parent_index", F.explode(chunking.paragraph_chunks(F.col("chunk"), CHILD)).alias("text"))
 
 
-@_register("child_chunks_tables")
-def child_chunks_tables(spark, d):
-    """The pages with tables, whose chunks are split by structure or by paragraph, as each holds a table mark or not."""
-    return _children(_pages(spark, d).where(chunking.needs_structure(F.col("content"))))
+@_register("fast_chunks")
+def fast_chunks(spark, d):
+    """Every page: those with tables go to the structural splitter, the others to the packer. tests/test_table_pages.py has it in plain Python."""
+    return chunking.fast_chunks(_pages(spark, d), "content", SIZE).select("page_id", F.posexplode("chunks").alias("chunk_index", "chunk"))
+
+
+@_register("child_chunks")
+def child_chunks(spark, d):
+    """The chunks of every page split again, by structure or by paragraph as each holds a table mark or not."""
+    kids = chunking.child_chunks(chunking.fast_chunks(_pages(spark, d), "content", SIZE), CHILD)
+    return kids.select("page_id", F.explode("child_chunks").alias("c")).select("page_id", "c.parent_index", "c.text")
 
 
 @_register("structural_chunks")
@@ -281,12 +295,41 @@ def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("i", "sentence"))
 
 
-@_register("units")
+_SENTENCES = f"list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: {_T('x')}), lambda x: x <> '')"
+
+
+@_register(
+    "units",
+    rf"""WITH {_HTML}, l0 AS (SELECT page_id, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) AS ls FROM h),
+l AS (SELECT page_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l0),
+t AS (SELECT *, regexp_matches({_T('line')}, '^(\||### VLM Extracted:|\*\*Tableau Extrait)') AS is_table FROM l),
+s AS (SELECT *, CASE WHEN lag(is_table) OVER (PARTITION BY page_id ORDER BY i) = is_table THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM s),
+b AS (SELECT page_id, island, is_table, string_agg(line, chr(10) ORDER BY i) AS x FROM g GROUP BY page_id, island, is_table),
+c AS (SELECT page_id, island, is_table, x, regexp_replace(x, '^\n+', '') AS text FROM b),
+u AS (SELECT page_id, island, is_table, CASE WHEN is_table THEN [x] ELSE {_SENTENCES} END AS us FROM c),
+v AS (SELECT page_id, island, is_table, unnest(us) AS unit, unnest(range(len(us))) AS j FROM u)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY island, j) - 1)::INTEGER AS unit_index, unit, is_table FROM v""",
+)
 def units(spark, d):
     return chunking.units(_pages(spark, d), "content", ["page_id"])
 
 
-@_register("doc_chunk_assign")
+_SHARE = "least(greatest(round(n::DOUBLE * y.b / total)::BIGINT, 1), n - x.at)"
+
+
+@_register(
+    "doc_chunk_assign",
+    f"""WITH c AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS ts, list(turn ORDER BY turn) AS us FROM conversations GROUP BY conv_id),
+f AS (SELECT *, array_to_string(ts, chr(10) || chr(10)) AS content FROM c),
+k AS (SELECT *, {_pack_sql(_PARAS, 600)} AS cs, list_transform(ts, lambda t: greatest(strlen(t), 1)) AS bs FROM f),
+z AS (SELECT *, len(cs)::BIGINT AS n, list_sum(bs)::BIGINT AS total FROM k),
+a AS (SELECT *, list_reduce(list_transform(bs, lambda b: {{'at': 0::BIGINT, 'ends': []::BIGINT[], 'b': b::BIGINT}}),
+  lambda x, y: {{'at': x.at + {_SHARE}, 'ends': list_append(x.ends, x.at + {_SHARE}), 'b': y.b}}, {{'at': 0::BIGINT, 'ends': []::BIGINT[], 'b': 0::BIGINT}}) AS dealt FROM z),
+p AS (SELECT conv_id, cs, n, ts, len(us) AS m, dealt, unnest(us) AS turn, unnest(range(1, len(us) + 1)) AS j FROM a),
+q AS (SELECT conv_id, turn, ts[j] AS own, cs[coalesce(dealt.ends[j - 1], 0) + 1 : CASE WHEN j = m THEN n ELSE dealt.ends[j] END] AS got FROM p)
+SELECT conv_id, turn, CASE WHEN len(got) > 0 THEN len(got) ELSE 1 END::INTEGER AS n_chunks, sha256(CASE WHEN len(got) > 0 THEN array_to_string(got, chr(10)) ELSE own END) AS chunks_sha256 FROM q""",
+)
 def doc_chunk_assign(spark, d):
     """Conversations as documents and turns as pages."""
     got = chunking.document_chunks(table(spark, d, "conversations"), 600, "conv_id", "turn", "text")
@@ -335,9 +378,7 @@ def semantic_chunks(spark, d):
     "WITH u AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY label, i) SELECT label, i::INTEGER AS i, round(x, 5) AS x FROM m",
 )
 def mean_pool(spark, d):
-    """Element-wise means with partial sums, so no group is gathered."""
-    u = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return u.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("x"))
+    return vectors.mean_by(table(spark, d, "embeddings"), ["label"], "embedding").withColumn("x", F.round("x", 5))
 
 
 _REPORT = f"""WITH p AS (SELECT source || '/' || doc_id || '.' || lang AS path, lang, strlen(text) AS n, {_conf_sql('strlen(text)')} AS c, {_T('text')} = '' AS blank FROM documents),
@@ -368,11 +409,11 @@ def report_by_source(spark, d):
     )
 
 
-@_register("doctor", f"SELECT lang AS extension, count(*) AS files, count(*) FILTER (length({_T('text')}) < 5) AS sparse_pages FROM documents GROUP BY lang")
+@_register("doctor", f"SELECT lang AS extension, count(*) AS files, count(*) FILTER (strlen(text) = 0) AS broken_files, count(*) FILTER (length({_T('text')}) < 5) AS sparse_pages FROM documents GROUP BY lang")
 def doctor(spark, d):
     from folioflow.operators.report import doctor as build
 
-    return build(_doc_pages(spark, d)).select("extension", "files", "sparse_pages")
+    return build(_doc_pages(spark, d)).select("extension", "files", "broken_files", "sparse_pages")
 
 
 @_register("label_signals", f"SELECT quality, toxic, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, round(avg({_conf_sql('strlen(text)')}), 4) AS avg_confidence FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic")
@@ -414,19 +455,19 @@ def json_lines(spark, d):
 def _exported(pages: DataFrame) -> DataFrame:
     from folioflow.operators.export import chunk_documents
 
-    pages = chunking.fast_chunks(pages.withColumnsRenamed({"url": "path"}), "content", SIZE).withColumns({"page_index": F.lit(0), "metadata": F.create_map().cast("map<string,string>"), "form_fields": F.create_map().cast("map<string,string>")})
-    return chunk_documents(pages).select("id", "text", F.col("metadata")["source"].alias("source"))
+    pages = pages.withColumns({"page_index": F.lit(0), "metadata": F.create_map().cast("map<string,string>"), "form_fields": F.create_map().cast("map<string,string>")})
+    return chunk_documents(pages.withColumnRenamed("url", "path")).select("id", "text", F.col("metadata")["source"].alias("source"))
 
 
-@_register("export_chunks", f"WITH {_HTML}, c AS (SELECT page_id, url, {_pack_sql(_PARAS, SIZE)} AS cs FROM h WHERE {_PLAIN}) SELECT url || '_p0_chunk_' || unnest(range(len(cs))) AS id, unnest(cs) AS text, url AS source FROM c")
-def export_chunks(spark, d):
-    return _exported(_pages(spark, d).where(~chunking.needs_structure(F.col("content"))))
+@_register("paragraph_documents", f"WITH {_HTML}, c AS (SELECT page_id, url, {_pack_sql(_PARAS, SIZE)} AS cs FROM h) SELECT url || '_p0_chunk_' || unnest(range(len(cs))) AS id, unnest(cs) AS text, url AS source FROM c")
+def paragraph_documents(spark, d):
+    return _exported(_pages(spark, d).withColumn("chunks", chunking.paragraph_chunks(F.col("content"), SIZE)))
 
 
-@_register("export_chunks_tables")
-def export_chunks_tables(spark, d):
-    """The pages with tables."""
-    return _exported(_pages(spark, d).where(chunking.needs_structure(F.col("content"))))
+@_register("export_chunks")
+def export_chunks(spark, d):
+    """The chunks of every page as documents."""
+    return _exported(chunking.fast_chunks(_pages(spark, d), "content", SIZE))
 
 
 @_register("fixed_layout")
@@ -459,8 +500,12 @@ def interval_merge(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from folioflow.plans import catalog_files  # noqa: F401  # registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from folioflow.plans import catalog_files  # noqa: F401
+
     return dict(_SQL)

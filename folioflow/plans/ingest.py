@@ -103,7 +103,9 @@ def _with_cache(spark, files, large, o: Options, cache_dir: str, pdf, ocr, decod
     else:
         fresh = fresh.withColumn("__p", F.substring_index("path", "!/", 1)).join(missing.select(F.col("path").alias("__p"), "cache_key"), "__p").drop("__p")
     fresh.write.mode("append").parquet(cache_dir)
-    got = spark.read.parquet(cache_dir).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi").drop("cache_key")
+    got = spark.read.parquet(cache_dir).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
+    # a run that was tried again, or ran beside another, may have stored the same pages twice
+    got = got.dropDuplicates(["cache_key", "path", "page_index"]).drop("cache_key")
     bad = page_ops.finish(page_ops.error_pages(large, F.lit("file is too large")))
     return got.unionByName(bad)
 
@@ -139,7 +141,8 @@ def register_functions(spark: SparkSession) -> None:
     spark.udf.register("structural_chunks", F.pandas_udf(lambda s: s.map(lambda t: chunking.structural_list(t, chunking.CHUNK_SIZE)), "array<string>", functionType=F.PandasUDFType.SCALAR))
     spark.udf.register("flatten_json", F.pandas_udf(lambda s: s.map(flat), "string", functionType=F.PandasUDFType.SCALAR))
     body = "t"
-    for k, _, _ in pii.KINDS:
+    for i, (k, _, _) in enumerate(pii.KINDS):
         p = pii.pattern(k).replace("'", "''")
-        body = f"CASE WHEN rlike(t, r'{p}') THEN regexp_replace({body}, r'{p}', '[{k}_REDACTED]') ELSE {body} END" if k == "EMAIL" else f"regexp_replace({body}, r'{p}', '[{k}_REDACTED]')"
+        # a lambda's variable, as the text so far is named twice
+        body = f"transform(array({body}), x{i} -> CASE WHEN rlike(t, r'{p}') THEN regexp_replace(x{i}, r'{p}', '[{k}_REDACTED]') ELSE x{i} END)[0]"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact_pii(t STRING) RETURNS STRING RETURN {body}")

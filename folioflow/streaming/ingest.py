@@ -10,6 +10,7 @@ from folioflow.functions.text import extension
 from folioflow.operators import report
 from folioflow.plans.ingest import pages_of
 from folioflow.plans.options import Options
+from folioflow.sources.files import MOST_BYTES
 from folioflow.sources.formats import SUPPORTED
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -31,16 +32,16 @@ def ingest_stream(spark: SparkSession, directory: str, out_dir: str, checkpoint:
     o = Options.of(**options)
 
     def write(batch: DataFrame, number: int) -> None:
-        pages = pages_of(spark, batch, None, o, embedder=embedder)
+        pages = pages_of(spark, batch.where(F.col("length") <= MOST_BYTES), batch.where(F.col("length") > MOST_BYTES), o, embedder=embedder)
         pages.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     stream = file_stream(spark, directory, o.ingest_archives).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="10 seconds")).start()
 
 
-def report_stream(pages: DataFrame, watermark: str = "1 hour", window: str = "10 minutes", time: str = "modificationTime") -> DataFrame:
-    """Pages by window of time and extension, with late rows up to the watermark."""
-    rows = pages.withWatermark(time, watermark)
+def report_stream(files: DataFrame, watermark: str = "1 hour", window: str = "10 minutes", time: str = "modificationTime") -> DataFrame:
+    """The files of a ``file_stream`` by window of time and extension, with late rows up to the watermark."""
+    rows = files.withWatermark(time, watermark)
     return rows.groupBy(F.window(time, window), extension(F.col("path")).alias("extension")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 

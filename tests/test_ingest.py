@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow import cli
+from folioflow.functions import pii
 from folioflow.operators import cache, export, report
 from folioflow.operators.pages import PAGE_COLUMNS
 from folioflow.plans import ingest as plan
@@ -119,6 +120,22 @@ def test_sql_functions(spark):
     plan.register_functions(spark)
     r = spark.sql("""SELECT redact_pii('a@b.cd x') AS r, structural_chunks('a b') AS c, flatten_json('{"b":1,"a":2}') AS j""").first()
     assert (r["r"], r["c"], r["j"]) == ("[EMAIL_REDACTED] x", ["a b"], "a: 2\nb: 1")
+    texts = ["", "123-45-6789", "4111 1111 1111 1111", "DE89370400440532013000", "2024-01-15 192.168.1.100", "sk_live_" + "a1" * 10, "eyJhbGciOiJI.eyJzdWIiOiIx.abc", "https://u:p@h.example/x?q=1", "call +33 6 12 34 56 78 or a@b.cd", "٠١٢-٣٤-٥٦٧٨"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for mode in ("redact", "mask", "tag"):
+        rows = pii.sanitize(df, "t", mode).withColumn("one", pii.sanitized(F.col("t"), mode)).collect()
+        assert [x["one"] for x in rows] == [x["pii"]["text"] for x in rows]
+    df.createOrReplaceTempView("texts")
+    both = spark.sql("SELECT t, redact_pii(t) AS r FROM texts").collect()
+    assert {x["t"]: x["r"] for x in both} == {x["t"]: x["pii"]["text"] for x in pii.sanitize(df, "t", "redact").collect()}
+
+
+def test_masking_lists_plans_small(spark):
+    from folioflow.operators.pages import finish
+
+    pages = spark.createDataFrame([("a", 0, "x a@b.cd", ["x a@b.cd", "123-45-6789"])], "path string, page_index int, content string, chunks array<string>")
+    plan_text = finish(pages, "mask")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan_text) < 50_000
 
 
 class Pages:

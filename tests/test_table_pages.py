@@ -1,4 +1,4 @@
-"""Each page, with a table or without, has its chunks in one of a pair of queries."""
+"""The chunks of every page, with a table or without, against plain Python."""
 
 from collections import Counter
 
@@ -34,16 +34,16 @@ def fixture_dir(spark, tmp_path_factory):
 
 
 def rows(spark, d, name):
-    got = catalog.queries()
-    return Counter(tuple(r) for q in (name, f"{name}_tables") if q in got for r in got[q](spark, d).collect())
+    return Counter(tuple(r) for r in catalog.queries()[name](spark, d).collect())
 
 
 @pytest.mark.parametrize("given", [False, True])
-def test_pairs_of_queries_hold_all_pages(spark, fixture_dir, given):
+def test_queries_hold_all_pages(spark, fixture_dir, given):
     d = "/root/testdata/sf0.01" if given else fixture_dir
     pages = catalog._pages(spark, d).collect()
     tops = {(r["page_id"], r["url"]): chunks(r["content"], catalog.SIZE) for r in pages}
     if not given:
         assert all(tops[k, f"http://h/{k}"] for k in range(1, 7)) and len(tops[3, "http://h/3"]) > 3
+    assert rows(spark, d, "fast_chunks") == Counter((p, i, c) for (p, _), cs in tops.items() for i, c in enumerate(cs))
     assert rows(spark, d, "child_chunks") == Counter((p, i, x) for (p, _), cs in tops.items() for i, c in enumerate(cs) for x in chunks(c, catalog.CHILD))
     assert rows(spark, d, "export_chunks") == Counter((f"{u}_p0_chunk_{i}", c, u) for (_, u), cs in tops.items() for i, c in enumerate(cs))
