@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import bounded_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
 BASE_KINDS = KINDS[:4]
@@ -289,9 +289,9 @@ def model() -> tuple[Boosted, np.ndarray]:
     return trees, bars
 
 
-def find(texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
+def find(texts: list[str | None], fitted: tuple[Boosted, np.ndarray] | None = None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
-    trees, bars = model()
+    trees, bars = fitted or model()
     base = [base_spans(t) if t else [] for t in texts]
     asked, rows = [], []
     for i, t in enumerate(texts):
@@ -330,12 +330,16 @@ _TYPE = "base string, spans string, n_email long, n_ip long, n_card long, n_phon
 def detect(docs: DataFrame, text: str = "text", out: str = "pii", with_text: bool = True) -> DataFrame:
     """All columns of ``docs`` and a struct ``out``: base and all spans as kind:start:end, base counts, redacted text."""
 
+    bounded_batches(docs.sparkSession)
+    # fitted once, on the driver: 60 trees of three tests each
+    shared = docs.sparkSession.sparkContext.broadcast(model())
+
     @F.pandas_udf(_TYPE)
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = [x if isinstance(x, str) else None for x in part]
             rows = []
-            for t, (base, spans) in zip(texts, find(texts)):
+            for t, (base, spans) in zip(texts, find(texts, shared.value)):
                 n = Counter(s[2] for s in base)
                 rows.append((written(base), written(spans), n[0], n[1], n[2], n[3], redact(t, spans) if with_text and t is not None else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TYPE.split(", ")])

@@ -119,3 +119,16 @@ def test_odd_tables(spark):
     assert got.columns == ["doc_id", "text", "base", "pii"]
     assert sorted((str(r["doc_id"]), r["pii"]["spans"], r["pii"]["redacted"]) for r in got.collect()) == [("1", "", None), ("1", "", None), ("2", "", ""), ("None", "email:0:6", "[EMAIL]")]
     assert pii.detect(df.where("false")).count() == 0
+
+
+def test_short_texts_follow_the_patterns():
+    r = random.Random(11)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for _ in range(100_000):
+        t = "".join(r.choice("0128.. +@a-") for _ in range(r.randint(1, 14)))
+        want = [(m.start(), m.end(), 0) for m in email.finditer(t)]
+        want += [(m.start(), m.end(), 1) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(m.start(), m.end(), 2) for m in card.finditer(t) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+        want += [(m.start(), m.end(), 3) for m in phone.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert pii.base_spans(t) == sorted(want, key=lambda s: (s[0], s[2])), t
