@@ -1,10 +1,8 @@
 """Token counts by a two-tier lookup on the map side, with no shuffle of pre-tokens.
 
-Tier 1 is a broadcast table of the lengths of frequent pre-tokens; tier 2 is a cache in each Python worker, filled by
-encoding misses. ``frequent`` finds the table's entries in one pass over all texts: every task keeps a space-bounded
-frequency summary (counters are decremented when it overflows, so a heavy pre-token can't be lost) and returns its
-largest entries; only these summaries, bounded by task, are added up. The tiers decide speed alone: a count never
-depends on what they hold.
+Tier 1 is a broadcast table of the lengths of frequent pre-tokens, chosen on the driver from a bounded sample of texts;
+tier 2 is a cache in each Python worker, filled by encoding misses. The tiers decide speed alone: a count never
+depends on what they hold, so the sample may be any, and every text is counted whole.
 
 Texts whose characters all lie in U+0000..U+024F, where normalisation is the identity but for case and white space, are
 split by a regular expression equal to the tokenizer's own; a white-space-delimited piece with any other character
@@ -27,13 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import bounded_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Entries of the broadcast table, and counters a task keeps while it looks for them.
+#: Entries of the broadcast table; texts, and bytes of each, that are looked at to choose them (8 MB at most).
 FREQUENT = 32_768
-COUNTERS = 131_072
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 4_096
 #: Entries a worker's cache holds before it starts afresh, and the longest pre-token it keeps.
 CACHE = 400_000
 KEEP_CHARS = 64
@@ -126,28 +124,21 @@ def _lengths(path: str, shared) -> Lengths:
     return _worker[key]
 
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"]:
-            for part in slices(text) if text else ():
-                seen.update(pre_tokens(part)[0])
-                if len(seen) > COUNTERS:
-                    least = sorted(seen.values(), reverse=True)[COUNTERS // 2]
-                    seen = Counter({k: v - least for k, v in seen.items() if v > least})
-    top = [(k, v) for k, v in seen.most_common(FREQUENT) if len(k) <= KEEP_CHARS and v > 1]
-    yield pd.DataFrame(top, columns=["token", "n"]).astype({"token": "string", "n": "int64"})
-
-
 def frequent(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent pre-tokens, at most FREQUENT of them."""
-    found = docs.select(F.col(f"`{text}`").alias("text")).mapInPandas(_summaries, "token string, n long")
-    top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    return [r["token"] for r in top.select("token").collect()]
+    """The most frequent pre-tokens of ``SAMPLE_ROWS`` texts of at most ``SAMPLE_BYTES``, at most FREQUENT of them.
+
+    Spark reads as few partitions as that takes; no pre-token is shuffled.
+    """
+    t = F.col(f"`{text}`")
+    seen: Counter = Counter()
+    for row in docs.where(F.octet_length(t) <= SAMPLE_BYTES).select(t.alias("text")).limit(SAMPLE_ROWS).collect():
+        seen.update(pre_tokens(row["text"])[0])
+    return [k for k, _ in seen.most_common(FREQUENT) if len(k) <= KEEP_CHARS]
 
 
 def token_counter(spark: SparkSession, docs: DataFrame, path: str, text: str = "text"):
     """A function from a text column to its number of tokens, with the broadcast table made for ``docs``."""
+    bounded_batches(spark)
     entries = frequent(docs, text)
     lengths = dict(zip(map(sys.intern, entries), Lengths(path, {}).encode(entries))) if entries else {}
     shared = spark.sparkContext.broadcast({"id": id(lengths), "lengths": lengths})

@@ -54,3 +54,8 @@ def test_odd_tables(spark):
     got = tc.count_tokens(df, PATH, out="t").collect()
     assert sorted((r["doc_id"], r["t"]["n_tokens"], r["tokens"]) for r in got) == [(1, 0, "x"), (1, 0, "x"), (2, 2, "y")]
     assert tc.count_tokens(df.where("false"), PATH, out="t").count() == 0
+
+
+def test_no_pre_token_is_shuffled(spark):
+    plan = tc.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
