@@ -8,11 +8,13 @@ impact in the range), computed for all windows of a document at once; the ranges
 searched with the postings' block maxima, which returns all items at or above it. A hit counts if the passage then holds enough of
 the item's question (shares of its five-word shingles) and of its answer (its last sentence, shares of its words).
 
-The index holds at most ``BLOCK_BYTES`` of item text; more items make more blocks, each an index of its own that all
-passages query, so what is broadcast is bounded and no item is left out. Document frequencies are those of a block.
+The index holds about ``BLOCK_BYTES`` of item text; more items make more blocks, each an index of its own that all
+passages query. Blocks are scanned one after another, the documents with their hits so far being stored in between, so
+that one block's broadcast is held at a time and no item is left out. Document frequencies are those of a block.
 
-Defined results. Null, empty and wordless documents and items match nothing; items of fewer than ``LEAST`` words can't
-be told from chance and are not indexed. Repeated documents are judged alike, repeated items all reported. Texts are
+Defined results. Null, empty and wordless documents and items match nothing. Items of fewer than ``LEAST`` words are too
+short for scores and shares: a document holds one if it has its words in a row, with the score 1. Repeated documents are judged
+alike, repeated items all reported, items with a null id under a null id. Texts are
 read whole. Empty tables give empty results or no hits. Other columns pass through.
 """
 
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import bounded_batches, cut, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.7
@@ -187,22 +189,38 @@ class Index:
         return found
 
 
-def build(items: list[tuple[int, str | None]]) -> list[Index]:
-    """One index by length class (32, 64, 128, ... words)."""
-    by: dict[int, list[tuple[int, str]]] = defaultdict(list)
+class Runs:
+    """Items of fewer than ``LEAST`` words, found as runs of words."""
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids = [i for i, _ in items]
+        self.runs: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for k, (_, t) in enumerate(items):
+            self.runs[tuple(terms(t))].append(k)
+        self.lengths: dict[str, set[int]] = defaultdict(set)
+        for run in self.runs:
+            self.lengths[run[0]].add(len(run))
+
+    def hits(self, words: list[str], threshold: float, least: float) -> dict[int, float]:
+        first = self.lengths.keys() & set(words)
+        return {k: 1.0 for at, w in enumerate(words) if w in first for n in self.lengths[w] for k in self.runs.get(tuple(words[at : at + n]), ())} if first else {}
+
+
+def build(items: list[tuple[int | None, str | None]]) -> list[Index | Runs]:
+    """One index by length class (32, 64, 128, ... words), and one of short items."""
+    by: dict[int, list[tuple[int | None, str]]] = defaultdict(list)
     for i, t in items:
-        n = len(terms(t))
-        if i is not None and n >= LEAST:
-            by[max(32, 1 << (n - 1).bit_length())].append((i, t))
-    return [Index(x, length) for length, x in sorted(by.items())]
+        if n := len(terms(t)):
+            by[max(32, 1 << (n - 1).bit_length()) if n >= LEAST else 0].append((i, t))
+    return [Index(x, length) if length else Runs(x) for length, x in sorted(by.items())]
 
 
-def find(indexes: list[Index], text: str | None, threshold: float = THRESHOLD, least: float = OVERLAP) -> list[tuple[int, float]]:
-    """(item id, score) of all items the text holds, by id."""
+def find(indexes: list[Index | Runs], text: str | None, threshold: float = THRESHOLD, least: float = OVERLAP) -> list[tuple[int | None, float]]:
+    """(item id, score) of all items the text holds, by id, null last."""
     ws = terms(text)
     if not ws:
         return []
-    return sorted({(x.ids[i], round(s, 6)) for x in indexes for i, s in x.hits(ws, threshold, least).items()})
+    return sorted({(x.ids[i], round(s, 6)) for x in indexes for i, s in x.hits(ws, threshold, least).items()}, key=lambda h: (h[0] is None, h))
 
 
 _HITS = "array<struct<item_id: long, score: double>>"
@@ -211,9 +229,10 @@ _HITS = "array<struct<item_id: long, score: double>>"
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
     """All columns of ``docs`` and an array ``out`` of the items each document holds, with their scores."""
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    bounded_batches(spark)
+    items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / BLOCK_BYTES * 1.25)) if total > BLOCK_BYTES else 1
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
 
     def matcher(block: int):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t").collect()
@@ -224,11 +243,20 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leak
                 yield pd.Series([[{"item_id": i, "score": s} for i, s in find(shared.value, t, threshold, least)] for t in b], dtype="object")
 
         # not deterministic to the planner alone: a filter on the result must not run it a second time
-        return F.pandas_udf(match, _HITS).asNondeterministic()
-
-    found = [matcher(b)(F.col(f"`{text}`")) for b in range(blocks)]
-    hits = found[0] if blocks == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], hits.alias(out))
+        return F.pandas_udf(match, _HITS).asNondeterministic(), shared
+
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    found, last = matcher(0)
+    done = docs.select(*named, found(F.col(f"`{text}`")).alias(out))
+    for block in range(1, blocks):
+        # one block is broadcast at a time: what came before is stored
+        done = cut(done)
+        last.destroy()
+        found, last = matcher(block)
+        order = "(a, b) -> case when a.item_id is not distinct from b.item_id then 0 when a.item_id is null then 1 when b.item_id is null or a.item_id < b.item_id then -1 else 1 end"
+        both = F.concat(F.col(f"`{out}`"), found(F.col(f"`{text}`")))
+        done = done.select(*named, both.alias("__both")).select(*named, F.array_distinct(F.expr(f"array_sort(__both, {order})")).alias(out))
+    return done
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
