@@ -350,5 +350,6 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii", with_text: boo
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return found.select(
-        "doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2(F.col("pii.base"), 256).alias("base_sha256"), F.col("pii.spans").alias("spans")
+        "doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2(F.col("pii.base"), 256).alias("base_sha256"), F.col("pii.spans").alias("spans"),
+        F.when(F.col("pii.spans") == "", 0).otherwise(F.size(F.split("pii.spans", ","))).cast("long").alias("n_spans"), (F.col("pii.spans") != "").alias("personal"),
     )
