@@ -287,6 +287,19 @@ def pdf_tags(spark, d):
     return got.select("page_index", F.col("metadata")["Title"].alias("title"), F.col("metadata")["pdf_open"].alias("opened"), F.col("form_fields")["name"].alias("name"), F.array_contains("warnings", "garbled_native_text").alias("garbled"))
 
 
+_TWO = b"%PDF-1.4\n1 0 obj<</Type/Page/MediaBox[0 0 600 800]>>endobj\nstream\nBT /F1 10 Tf 50 700 Td (Left one) Tj 300 0 Td [(Right) -280 (one)] TJ 1 0 0 1 50 680 Tm (Left two) Tj 300 0 Td (Right two) Tj ET\nendstream\nendobj"
+
+
+@_register("pdf_columns", _values("layout VARCHAR, content VARCHAR, width INTEGER", [("bulk", "Left one\nRight one\nLeft two\nRight two", 600), ("columns", "Left one\nLeft two\nRight one\nRight two\n", 600)]))
+def pdf_columns(spark, d):
+    """A PDF of two columns in the order of its stream, and by the boxes of its glyphs."""
+    at, out = _folder(spark, {"two.pdf": _TWO}), None
+    for layout_mode, how in (("bulk", "bulk"), ("multi_column", "columns")):
+        raw = sources.pdf_pages(spark.read.format("binaryFile").load(at), multi_column=layout_mode == "multi_column").select(F.lit(how).alias("layout"), "content", "width")
+        out = raw if out is None else out.unionByName(raw)
+    return out
+
+
 class _Mending:
     def open(self, data, password, max_pages):
         if data == b"whole" or password == "open":

@@ -67,7 +67,9 @@ class Pypdf:
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|\[(?:\\.|[^\]])*\]\s*TJ|T\*|T[dDm]\b|'|\bET\b", re.S)
-_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)", re.S)
+_MEDIA = re.compile(rb"/MediaBox\s*\[\s*" + rb"\s+".join([rb"(-?[0-9.]+)"] * 4) + rb"\s*\]")
+_TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|\[(?:\((?:\\.|[^\\()])*\)|[^\]()])*\]|[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)|/[^\s/<>\[\](){}%]+|[A-Za-z'\"]+\*?", re.S)
+_PIECE = re.compile(rb"\((?:\\.|[^\\()])*\)|[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", re.S)
 _ESCAPED = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
@@ -75,7 +77,8 @@ _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 class FlatePdf:
     """Text of simple PDFs with the standard library alone: content streams, plain or deflated, in the order of the file.
 
-    No fonts are decoded, so it reads Latin text of unsubsetted fonts only; a stream that shows text is a page.
+    No fonts are decoded, so it reads Latin text of unsubsetted fonts only; a stream that shows text is a page. Glyph boxes
+    follow the text matrices, with the widths of a common sans-serif font; rotated text isn't followed.
     """
 
     def open(self, data: bytes, password: str | None, max_pages: int | None) -> PdfDocument:
@@ -84,6 +87,9 @@ class FlatePdf:
         if b"/Encrypt" in data:
             raise PermissionError("encrypted")
         pages = []
+        box = _MEDIA.search(data)
+        sides = [float(x) for x in box.groups()] if box else [0.0] * 4
+        size = round(sides[2] - sides[0]), round(sides[3] - sides[1])
         for m in _STREAM.finditer(data):
             raw = m[1]
             try:
@@ -91,7 +97,7 @@ class FlatePdf:
             except zlib.error:
                 pass
             if b"BT" in raw and (t := self._text(raw)):
-                pages.append(PdfPage(t))
+                pages.append(PdfPage(t, *size, self._glyphs(raw)))
             if max_pages and len(pages) >= max_pages:
                 break
         return PdfDocument(pages)
@@ -101,12 +107,74 @@ class FlatePdf:
         for m in _SHOWN.finditer(raw):
             s = m[0]
             if s[:1] in b"([":
-                for x in _STRING.findall(s):
-                    out.append(_ESCAPED.sub(lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else _ESCAPES.get(e[1], e[1]), x[1:-1]).decode("latin-1"))
+                # a wide step to the right between strings of an array is a blank
+                out += [_plain(x) if x[:1] == b"(" else " " for x in _PIECE.findall(s) if x[:1] == b"(" or float(x) < -200]
             elif out and out[-1] != "\n":
                 out.append("\n")
         return "".join(out).strip()
 
+    def _glyphs(self, raw: bytes) -> list[tuple[str, float, float, float, float]]:
+        """(sign, left, right, top, bottom), y upwards; blanks only move on."""
+        out: list[tuple[str, float, float, float, float]] = []
+        held: list = []
+        size, leading, at, x, y = 1.0, 0.0, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], 0.0, 0.0
+
+        def move(dx: float, dy: float) -> None:
+            nonlocal x, y
+            at[4] += dx * at[0] + dy * at[2]
+            at[5] += dx * at[1] + dy * at[3]
+            x, y = at[4], at[5]
+
+        def show(text: str) -> None:
+            nonlocal x
+            wide, high = size * abs(at[0]), size * abs(at[3])
+            for c in text:
+                end = x + wide * _width(c)
+                if not c.isspace():
+                    out.append((c, x, end, y + high, y))
+                x = end
+
+        for m in _TOKEN.finditer(raw):
+            t = m[0]
+            if t[:1] in b"([":
+                held.append(t)
+                continue
+            if t[:1] in b"+-.0123456789":
+                held.append(float(t))
+                continue
+            n = [v for v in held if isinstance(v, float)]
+            if t == b"BT":
+                at, x, y = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], 0.0, 0.0
+            elif t == b"Tf" and n:
+                size = n[-1]
+            elif t == b"TL" and n:
+                leading = n[-1]
+            elif t in (b"Td", b"TD") and len(n) > 1:
+                leading = -n[-1] if t == b"TD" else leading
+                move(n[-2], n[-1])
+            elif t == b"Tm" and len(n) > 5:
+                at = n[-6:]
+                x, y = at[4], at[5]
+            elif t in (b"T*", b"'", b'"'):
+                move(0.0, -leading)
+            if t in (b"Tj", b"TJ", b"'", b'"') and held and isinstance(held[-1], bytes):
+                for piece in _PIECE.finditer(held[-1]):
+                    if piece[0][:1] == b"(":
+                        show(_plain(piece[0]))
+                    else:
+                        x -= float(piece[0]) / 1000 * size * abs(at[0])
+            held = []
+        return out
+
+
+def _plain(s: bytes) -> str:
+    """A string in parentheses with its escapes undone."""
+    return _ESCAPED.sub(lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else _ESCAPES.get(e[1], e[1]), s[1:-1]).decode("latin-1")
+
+
+def _width(c: str) -> float:
+    return 0.28 if c in " .,:;!'|ijlftI()[]/-" else 0.85 if c in "mwMW@%" else 0.68 if c.isupper() else 0.54
+
 
 def pdf_backend(name: str = "auto") -> PdfBackend:
     if name in ("auto", "pypdf"):
