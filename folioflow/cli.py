@@ -1,4 +1,4 @@
-"""python -m folioflow.cli ingest|sanitize|doctor|compare|bench|version"""
+"""python -m folioflow.cli ingest|sanitize|doctor|compare|bench|serve|version"""
 
 from __future__ import annotations
 
@@ -40,6 +40,9 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--doc-chunking", action="store_true")
             c.add_argument("--pdf-password")
             c.add_argument("--cache-dir", help="where results are kept and looked up")
+    served = sub.add_parser("serve")
+    served.add_argument("--host", default="127.0.0.1")
+    served.add_argument("--port", type=int, default=8000)
     sub.add_parser("version")
     return p
 
@@ -50,6 +53,11 @@ def main(argv: list[str] | None = None) -> int:
         print(folioflow.__version__)
         return 0
     spark = SparkSession.builder.appName("folioflow").getOrCreate()
+    if a.command == "serve":
+        from folioflow.service import server
+
+        server(spark, a.port, a.host).serve_forever()
+        return 0
     common = {"pattern": a.pattern, "ingest_archives": a.archives}
     if a.command in ("ingest", "sanitize"):
         names = ("pii_mode", "chunk_size", "child_chunk_size", "max_pages", "repair_pdf", "repair_level", "strategy", "layout_mode", "backend", "use_ocr", "ocr_mode", "use_embeddings", "doc_chunking", "pdf_password")
