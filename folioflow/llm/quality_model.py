@@ -6,8 +6,8 @@ filter over the chunk is kept, and the chunks' maxima, averaged and maximised ov
 layer into one probability. Training is plain Adam with seeded draws; as a maximum passes its gradient to one place,
 the backward pass touches one window by chunk and filter.
 
-The training sample is bounded: ``max_train`` labelled rows, those of the smallest hash of the id, half of either
-class at most where it can be, weighted back to the classes' shares. Scoring covers every row and every byte.
+The training sample is bounded: ``max_train`` labelled rows of at most ``MAX_BYTES`` bytes each, those of the smallest
+hash of the id; each is learned from whole. Scoring covers every row and every byte.
 
 Defined results. Null and empty texts are one chunk of padding and score like any other. Rows without labels aren't
 learned from; conflicting labels of an id count by their mean, rounded up at a half. With no labels at all, or one
@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import bounded_batches, table
 
 CHUNK, WIDTH, STEP = 512, 8, 2
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-MAX_TRAIN = 6_000
-#: Chunks of a document that one training step looks at, drawn anew each time; steps are as many at any size.
-TRAIN_CHUNKS, STEPS, BATCH, RATE, DECAY = 4, 800, 64, 0.004, 1e-4
+#: Labelled rows that are learned from, and the longest text among them: 250 MB at the very most, some 13 MB as a rule.
+MAX_TRAIN, MAX_BYTES = 4_000, 1 << 16
+#: Steps are as many at any size.
+STEPS, BATCH, RATE, DECAY = 800, 32, 0.004, 1e-4
 THRESHOLD = 0.7
 #: Chunks whose windows are laid out at once: about 4 MB.
 BLOCK = 64
@@ -112,12 +113,7 @@ def train(texts: list[str | bytes], labels: np.ndarray, weights: np.ndarray | No
         order = rng.permutation(len(data))
         for at in range(0, len(order), BATCH)[: steps - step]:
             ids = order[at : at + BATCH]
-            parts = []
-            for i in ids:
-                starts = chunk_starts(max(len(data[i]), CHUNK))
-                if len(starts) > TRAIN_CHUNKS:
-                    starts = rng.choice(starts, TRAIN_CHUNKS, replace=False)
-                parts.append(chunks_of(data[i], starts))
+            parts = [chunks_of(data[i]) for i in ids]
             counts = np.array([len(x) for x in parts])
             first, chunks = np.append(0, counts.cumsum()[:-1]), np.vstack(parts)
             most, places = pool(p, chunks, where=True)
@@ -147,26 +143,9 @@ def train(texts: list[str | bytes], labels: np.ndarray, weights: np.ndarray | No
     return p
 
 
-#: Chunks of one sampled document that reach the driver, drawn over its whole length.
-SAMPLE_CHUNKS = 32
-
-
 def _held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
-
-
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A document longer than SAMPLE_CHUNKS chunks becomes that many of its chunks, laid end to end."""
-    for b in batches:
-        out = []
-        for seed, t in zip(b["seed"], b["text"]):
-            data = (t or "").encode("utf-8", "surrogatepass")
-            if len(data) > SAMPLE_CHUNKS * CHUNK:
-                starts = chunk_starts(len(data))
-                picked = np.sort(np.random.default_rng(abs(int(seed))).choice(starts, SAMPLE_CHUNKS, replace=False))
-                data = b"".join(data[s : s + CHUNK] for s in picked)
-            out.append(data)
-        yield pd.DataFrame({"seed": b["seed"], "data": out, "y": b["y"]})
+    """A null id isn't held out, and never learned from."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Params:
@@ -177,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = known.withColumn("seed", order).orderBy("seed", "__id").limit(max_train)
     # at most max_train rows of an id and two numbers: a broadcast of proven size
     rows = docs.select(F.col(f"`{id_col}`").alias("__did"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), F.col("__did") == F.col("__id"))
-    found = rows.select("seed", "text", "y").mapInPandas(_sampled, "seed long, data binary, y int").orderBy("seed", "data").limit(max_train).collect()
-    return train([bytes(r["data"]) for r in found], np.array([r["y"] for r in found], np.float32))
+    short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= MAX_BYTES)
+    found = short.select("seed", F.coalesce("text", F.lit("")).alias("text"), "y").orderBy("seed", "text").limit(max_train).collect()
+    return train([r["text"] for r in found], np.array([r["y"] for r in found], np.float32))
 
 
 def scorer(params: Params):
@@ -192,6 +172,7 @@ def scorer(params: Params):
 
 def classify(docs: DataFrame, params: Params, text: str = "text", out: str = "quality") -> DataFrame:
     """All columns of ``docs`` and a struct ``out`` of score and predicted."""
+    bounded_batches(docs.sparkSession)
     rows = docs.withColumn("__score", scorer(params)(F.col(f"`{text}`")))
     s = F.col("__score")
     verdict = F.struct(s.alias("score"), F.when(s >= THRESHOLD, 1).otherwise(0).alias("predicted"))

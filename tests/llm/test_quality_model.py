@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -52,3 +53,35 @@ def test_held_out_accuracy(spark):
     right = np.mean([r["predicted"] == r["quality"] for r in got])
     clean = np.mean([r["predicted"] for r in got if r["quality"] == 1])
     assert right > 0.85 and clean > 0.9, (right, clean)
+
+
+def test_forward_pass_equals_loops(monkeypatch):
+    """Each score again by plain loops over bytes, filters and layers."""
+    texts = ["", "short", "é" * 300, "x y " * 700, None]
+    p = q.train(["good text here " * 40, "zzzz 1111 " * 60] * 20, np.array([1, 0] * 20, np.float32), steps=3)
+    for t, got in zip(texts, q.score(p, texts)):
+        data = (t or "").encode()
+        data += b"\0" * (q.CHUNK - len(data))
+        starts = list(range(0, len(data) - q.CHUNK + 1, q.CHUNK - q.WIDTH))
+        if starts[-1] != len(data) - q.CHUNK:
+            starts.append(len(data) - q.CHUNK)
+        assert set(range(len(data))) == {s + k for s in starts for k in range(q.CHUNK)}
+        rows = []
+        for s in starts:
+            row = []
+            for f in range(q.FILTERS):
+                taps = p["filters"][:, f].reshape(q.WIDTH, q.EMBED)
+                best = max(sum(float(p["embed"][data[s + at + k]] @ taps[k]) for k in range(q.WIDTH)) for at in range(0, q.CHUNK - q.WIDTH + 1, q.STEP))
+                row.append(max(0.0, best + float(p["filter_bias"][f])))
+            rows.append(row)
+        x = [sum(c) / len(rows) for c in zip(*rows)] + [max(c) for c in zip(*rows)]
+        h = [max(0.0, sum(a * float(w) for a, w in zip(x, p["w1"][:, j])) + float(p["b1"][j])) for j in range(q.HIDDEN)]
+        z = sum(a * float(w) for a, w in zip(h, p["w2"])) + float(p["b2"][0])
+        assert abs(1 / (1 + math.exp(-z)) - got) < 1e-4
+
+
+def test_a_null_id_is_neither_held_out_nor_learned_from(spark):
+    docs = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert docs.select(q._held_out(docs.doc_id)).where("not isnull(1)").count() == 2
+    assert "constant" in q.fit(docs, labels)
