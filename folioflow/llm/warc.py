@@ -9,9 +9,11 @@ with partial aggregation so that many copies of one capture are no hot task, and
 
 Which row is the response: of rows with equal payloads (SHA-1 and length) of at least ``min_bytes`` bytes the one with the
 smallest page id. Only digests are grouped for that, never payloads; the groups of two or more are broadcast if they
-are few (counted first), else joined.
+are few (counted first), else joined. Joins by payload or by response spread each key over ``SALTS`` places, so that a third of
+all pages may share one payload.
 
-Defined results. Null html: an empty payload. Null url: no target address. Null page ids: null again, after all others.
+Defined results. Null html: an empty payload. Null url: no target address. Addresses are written in UTF-8 as they are, but for
+blanks and control characters, which are percent-encoded. Null page ids: null again, after all others.
 Repeated rows: a capture each; those with the smallest id of their payload are responses all. Records that point to
 no response make a capture without one. Empty tables: no files, no rows. Other columns are ignored.
 """
@@ -21,24 +23,26 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, own_dir, table
+from folioflow.llm.common import bounded_batches, cut, own_dir, table
 
 MIN_BYTES = 0
 #: A file is closed and the next begun beyond so many compressed bytes.
 ROLL = 256 << 20
 BROADCAST_ROWS = 50_000
+SALTS = 16
 MOST_TASKS = 10_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_BLANK = re.compile(r"[\x00-\x20\x7f]")
 _SPACE = uuid.UUID("7c6c3b6e-0b0a-5d0f-9a55-3f8a5f2f8a11")
 
 
@@ -60,7 +64,7 @@ def capture_records(page_id: int | None, url: str | None, html: str | None, firs
     """The records of one capture; ``first`` is the page whose response it revisits, or None for a response."""
     payload = (html or "").encode("utf-8", "surrogatepass")
     digest = digest_of(payload)
-    uri = None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]")
+    uri = None if url is None else _BLANK.sub(lambda m: f"%{ord(m[0]):02X}", url)
     target, rid = ("WARC-Target-URI", uri), _id("capture", page_id, digest)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     typed = [target, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -82,14 +86,27 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _salted(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def write_archives(pages: DataFrame, out_dir: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) to ``out_dir``; returns the manifest (path, records, bytes), already done."""
+    bounded_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", "html", F.sha1(html).alias("__sha"), F.octet_length(html).alias("__n"))
     same = pages.where(F.col("__n") >= min_bytes).groupBy("__sha", "__n").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__k"))
     same = cut(same.where("__k > 1").select(F.col("__sha").alias("__s"), F.col("__n").alias("__m"), "__first"))
     few = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = pages.join(F.broadcast(same) if few else same, (F.col("__sha") == F.col("__s")) & (F.col("__n") == F.col("__m")), "left")
+    on = (F.col("__sha") == F.col("__s")) & (F.col("__n") == F.col("__m"))
+    if few:
+        rows = pages.join(F.broadcast(same), on, "left")
+    else:
+        rows = pages.withColumn("__salt", _salt("page_id", "url")).join(_salted(same, "__t"), on & (F.col("__salt") == F.col("__t")), "left")
     # null ids come after all others, so they revisit wherever the group has an id
     rows = rows.withColumn("first", F.when(F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")))
 
@@ -136,7 +153,7 @@ def parse_stream(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             if not line:
                 raise ValueError("a record is cut short")
             k, _, v = line.decode("utf-8", "replace").partition(":")
-            headers[k.strip().lower()] = v.strip()
+            headers[k.strip().lower()] = v.strip(" \t\r\n")
         n = int(headers.get("content-length", 0))
         block = stream.read(n)
         if len(block) < n:
@@ -219,8 +236,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "capture_id", r["type"].alias("record_type"), r["refers_to"].alias("to"), r["payload_bytes"].alias("payload_bytes"), r["payload_sha1"].alias("payload_digest")
     )
     slim = cut(slim)
+    revisits = slim.where("record_type = 'revisit'")
     firsts = slim.where("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min("page_id").alias("refers_to"))
-    revisits = slim.where("record_type = 'revisit'").join(firsts, "to", "left")
+    firsts = _salted(firsts.join(revisits.select("to").distinct(), "to", "left_semi"), "salt")
+    revisits = revisits.withColumn("salt", _salt("capture_id")).join(firsts, ["to", "salt"], "left")
     out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return slim.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(revisits.select(*out))
 

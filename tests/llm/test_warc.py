@@ -54,3 +54,20 @@ def test_query_equals_brute_force(spark):
     for r in spark.read.parquet(f"{d}/pages.parquet").collect():
         b = r["html"].encode()
         assert got[r["page_id"]]["payload_bytes"] == len(b) and got[r["page_id"]]["payload_digest"] == warc.digest_of(b)
+
+
+def test_addresses_come_back(spark, tmp_path):
+    urls = ["http://bücher.example/straße?q=Ж%20中#😀", "https://h/a%2Fb", "http://h/\u3000"]
+    _, got = captured(spark, [(i, u, "x", "") for i, u in enumerate(urls)], tmp_path)
+    assert {r["page_id"]: r["response"]["target_uri"] for r in got.collect()} == dict(enumerate(urls))
+
+
+def test_one_payload_on_most_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(i, f"u{i}", "" if i % 3 else f"p{i % 7}", "") for i in range(200)]
+    _, got = captured(spark, rows, tmp_path)
+    kinds = [(r["page_id"], r["response"]["type"]) for r in got.collect()]
+    firsts = {}
+    for i, _, h, _ in rows:
+        firsts.setdefault(h, i)
+    assert sorted(kinds) == [(i, "response" if firsts[h] == i else "revisit") for i, _, h, _ in rows]
