@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches, cut, own_dir, table
+from folioflow.llm.common import bounded_batches, cut, drop_dir, own_dir, table
 
 MIN_BYTES = 0
 #: A file is closed and the next begun beyond so many compressed bytes.
@@ -229,13 +229,16 @@ def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(table(spark, sf_dir, "pages"), own_dir(spark, "warc"))
+    at = own_dir(spark, "warc")
+    manifest = write_archives(table(spark, sf_dir, "pages"), at)
     captures = assemble(read_records(manifest), with_payload=False)
     r = F.col("response")
     slim = captures.where("response is not null").select(
         "page_id", "capture_id", r["type"].alias("record_type"), r["refers_to"].alias("to"), r["payload_bytes"].alias("payload_bytes"), r["payload_sha1"].alias("payload_digest")
     )
+    # the archives have been read; the query needs them no more
     slim = cut(slim)
+    drop_dir(spark, at)
     revisits = slim.where("record_type = 'revisit'")
     firsts = slim.where("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min("page_id").alias("refers_to"))
     firsts = _salted(firsts.join(revisits.select("to").distinct(), "to", "left_semi"), "salt")
