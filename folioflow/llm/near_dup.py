@@ -10,7 +10,7 @@ so on, and only members of another group than a leader's are compared with it; a
 links there being known. Links join groups, and a bucket is done when its members are of one group. So a bucket of near copies
 costs about one comparison a member, and texts that share a bucket and are linked end in one group always. The first leader
 is the least node, an aggregate with partial results; later ones are ranked behind a limit that Spark applies before it
-shuffles; joins on a hot bucket are split by adaptive execution, as no state is kept by bucket. A bucket of texts that are *not* linked
+shuffles; joins on a hot bucket are split by adaptive execution, for which both sides are stored tables and no aggregates. A bucket of texts that are *not* linked
 does cost one comparison of 64-byte sketches for each two of them, in the rounds' portions; of those only pairs that may
 match are ever stored.
 
@@ -135,6 +135,7 @@ def labels(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -
             counts = active.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
             # the largest group of a bucket leads nothing: the others are compared with it
             largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most")).select("bucket", F.col("most.label").alias("main"))
+            largest = cut(largest)
             rank = F.row_number().over(W.partitionBy("bucket").orderBy("num"))
             leaders = cut(active.join(largest, "bucket").where("label <> main").withColumn("k", rank).where(F.col("k") <= leaders_n))
             lead = leaders.select("bucket", "num", F.lit(True).alias("leads"))
@@ -157,6 +158,7 @@ def labels(members: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -
             found = joined if found is None else found.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined.join(found.select("node"), "node", "left_anti"))
             found = cut(found)
         open_ = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        open_ = cut(open_)
         active = cut(rest.join(open_, "bucket", "left_semi").select(active.columns))
         leaders_n *= 16
         # the round's shuffle files can go; they do once the driver has collected what stood for them
@@ -191,7 +193,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     reps = cut(reps.withColumn("num", F.monotonically_increasing_id()))
     members = reps.select("num", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("num").alias("first"), F.max("num").alias("last")).where("first < last").select("bucket", "first")
-    members = cut(members.join(shared, "bucket"))
+    members = cut(members.join(cut(shared), "bucket"))
     asked = cut(reps.join(members.select("num").distinct(), "num", "left_semi").select("num", F.col("node").alias("asked"), F.col("id").alias("rep")))
     few = _few(asked)
     texts = rows.join(few, (F.col("node") == F.col("asked")) & F.col("id").eqNullSafe(F.col("rep")))
