@@ -50,9 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in reliable shared storage, so that a lost executor costs a re-read and no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Ends the lineage in reliable shared storage, so that a lost executor costs a re-read and no recomputation.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's size is the product of its sides'. In a loop of joins
+    and checkpoints that number doubles its digits with each step, until it fills the driver's memory; so the stored rows get a
+    plan without a size, which joins take for a large one.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    stored = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.logicalPlan().rdd(), stored.schema(), False), spark)
 
 
 def own_dir(spark: SparkSession, what: str) -> str:

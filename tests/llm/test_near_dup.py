@@ -155,3 +155,15 @@ def test_a_bucket_of_many_groups(spark):
     rows = [(i, core + f" {'x y z u v'.split()[i % 5]}{i % 5} " + " ".join(f"t{i % 5}_{j}" for j in range(28)) + f" e{i}") for i in range(60)]
     got = nd.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["dup"]["class_id"] for r in got} == brute(rows) and len(set(brute(rows).values())) == 5
+
+
+def size_power(df):
+    """The power of ten of the size that the driver holds for a plan."""
+    return int((re.findall(r"E\+(\d+)", df._jdf.queryExecution().optimizedPlan().stats().simpleString()) or [0])[0])
+
+
+def test_a_loop_leaves_no_growing_size(spark):
+    # joins multiply sizes; kept from checkpoint to checkpoint, they fill the driver's memory
+    found = nd.components(spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long"))
+    assert {(r["node"], r["label"]) for r in found.collect()} == {(i, 0) for i in range(501)}
+    assert size_power(found) < 100
