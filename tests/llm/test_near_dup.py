@@ -167,3 +167,10 @@ def test_a_loop_leaves_no_growing_size(spark):
     found = nd.components(spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long"))
     assert {(r["node"], r["label"]) for r in found.collect()} == {(i, 0) for i in range(501)}
     assert size_power(found) < 100
+
+
+def test_rounds_of_leaders_leave_no_growing_size(spark):
+    core = [f"c{j}" for j in range(90)]
+    rows = [(i, " ".join(core + [f"t{i % 5}_{j}" for j in range(30)] + [f"e{i}"])) for i in range(60)]
+    found = nd.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["least_id"] for r in found.collect()} == set(range(5)) and size_power(found) < 100
