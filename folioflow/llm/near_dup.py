@@ -181,6 +181,9 @@ def components(edges: DataFrame) -> DataFrame | None:
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
+        # a step takes seconds, too short for the driver to drop by itself what the steps before it left
+        del spread, jump
+        _release(new)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

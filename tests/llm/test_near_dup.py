@@ -174,3 +174,13 @@ def test_rounds_of_leaders_leave_no_growing_size(spark):
     rows = [(i, " ".join(core + [f"t{i % 5}_{j}" for j in range(30)] + [f"e{i}"])) for i in range(60)]
     found = nd.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["least_id"] for r in found.collect()} == set(range(5)) and size_power(found) < 100
+
+
+def test_a_loop_leaves_no_growing_shuffles(spark, monkeypatch):
+    # what a step leaves is dropped before the next ones; else the driver holds the shuffles of all of them
+    held, cut = [], nd.cut
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    monkeypatch.setattr(nd, "cut", lambda df: (held.append(shuffles.size()), cut(df))[1])
+    nd._release(edges := spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long"))
+    assert {r["label"] for r in nd.components(edges).collect()} == {0}
+    assert len(held) > 8 and max(held) <= held[0] + 12, held
