@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -82,3 +83,19 @@ def test_vectors(spark):
     assert sims[0] is None and sims[1] > 0.99 and sims[2] < 0.2 and sims[3] == 0
     assert vectors.semantic_chunks(df, ["k"], 100).first()["chunks"] == ["a b", "c", "d"]
     assert df.limit(1).select(vectors.mean_pool(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0))))).first()[0] == [2.0, 4.0]
+
+
+def test_few_rows_of_a_batch_are_objects_at_once():
+    rows = 2 * ck.ROWS + 1
+    kept = []
+    got = ck._by_few(lambda t: kept.append(t) or [t], pa.list_(pa.string()))(iter([pa.array([str(i) for i in range(rows)]), pa.array([], pa.string())]))
+    sizes = [(len(a), len(kept)) for a in got]
+    assert sizes == [(ck.ROWS, ck.ROWS), (ck.ROWS, 2 * ck.ROWS), (1, rows), (0, rows)]
+
+
+def test_batches_of_many_rows_keep_their_order(spark):
+    df = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.col("id").cast("string"), F.lit(" b"))).alias("t"))
+    got = ck.child_chunks(df.withColumn("chunks", ck.structural("t", 4)), 4, fast=False).orderBy("id").collect()
+    for r in got:
+        want = ck.structural_list(r["t"], 4)
+        assert r["chunks"] == want and [tuple(c) for c in r["child_chunks"]] == [(w, i) for i, w in enumerate(want)]
