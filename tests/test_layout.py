@@ -25,6 +25,41 @@ def test_intervals_and_gaps(spark):
     assert layout.largest_gap(df, ["k"], "s", "e", 16.0).count() == 0
 
 
+def test_many_pages_are_cut_as_one_by_one():
+    rng = np.random.default_rng(7)
+    for y_down in (False, True):
+        pages = []
+        for _ in range(400):
+            n = int(rng.integers(1, 40))
+            low = rng.integers(0, 40, (n, 2)) * rng.choice([5.0, 20.0])
+            pages.append(np.concatenate([low, low + rng.integers(-1, 12, (n, 2)) * 5.0], 1))
+            if rng.random() < 0.1:
+                pages[-1][0, int(rng.integers(4))] = rng.choice([np.nan, np.inf])
+        first = np.cumsum([0, *map(len, pages[:-1])])
+        got = layout.xy_ranks(np.concatenate(pages), first, 600.0, 800.0, y_down)
+        for at, page in zip(first, pages):
+            assert np.argsort(got[at : at + len(page)]).tolist() == layout.xy_order(page, 600.0, 800.0, y_down)
+
+
+def test_pages_across_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if p == 3 else f"p{p}", i, *map(float, rng.integers(0, 50, 2) * 10), 0.0, 0.0) for p in range(60) for i in range([1, 3, 40][p % 3])]
+    rows = [(*r[:4], r[2] + 15, r[3] + 8) for r in rows]
+    df = spark.createDataFrame(rows, "page string, idx int, x0 float, y0 float, x1 float, y1 float").coalesce(1)
+    want = {}
+    for p in {r[0] for r in rows}:
+        boxes = sorted(r[1:] for r in rows if r[0] == p)
+        want |= {(p, boxes[k][0]): at for at, k in enumerate(layout.xy_order(np.array([b[1:] for b in boxes]), 600, 800))}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = layout.reading_order(df, 600.0, 800.0, key="page").collect()
+            assert len(got) == len(rows) and {(r["page"], r["idx"]): r["reading_index"] for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def line(text, x, y, size=10.0, step=6.0):
     return [(c, x + i * step, x + (i + 1) * step - 0.5, y + size, y) for i, c in enumerate(text) if c != " "]
 
