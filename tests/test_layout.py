@@ -25,6 +25,21 @@ def test_intervals_and_gaps(spark):
     assert layout.largest_gap(df, ["k"], "s", "e", 16.0).count() == 0
 
 
+def test_gaps_of_equal_and_nested_intervals(spark):
+    # equal rows, one interval within another, two gaps of one width, and starts that are missing
+    rows = [(1, 0.0, 9.0), (1, 0.0, 9.0), (1, 2.0, 3.0), (1, 19.0, 20.0), (1, 19.0, 20.0), (1, 30.0, 31.0), (1, None, 99.0), (2, None, None), (2, 1.0, 2.0), (2, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "k int, s double, e double")
+    assert sorted(tuple(r) for r in layout.largest_gap(df, ["k"], "s", "e", 5.0).collect()) == [(1, 14.0), (2, 5.5)]
+    got = sorted(tuple(r) for r in layout.merge_intervals(df, ["k"], "s", "e").collect())
+    assert got == [(1, 0.0, 9.0), (1, 19.0, 20.0), (1, 30.0, 99.0), (2, 1.0, 2.0), (2, 9.0, 9.0)]
+
+
+def test_a_gap_takes_one_sort(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0)], "k int, s double, e double")
+    plan = layout.largest_gap(df, ["k"], "s", "e", 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Aggregate [") == 1
+
+
 def test_many_pages_are_cut_as_one_by_one():
     rng = np.random.default_rng(7)
     for y_down in (False, True):
