@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import chunking as ck
 from folioflow.functions import vectors
+from folioflow.sources.backends import HashingEmbedder, embed, similarities
 
 TEXT = st.text(alphabet="ab .\n#é漢😀|", max_size=200)
 
@@ -99,3 +100,35 @@ def test_batches_of_many_rows_keep_their_order(spark):
     for r in got:
         want = ck.structural_list(r["t"], 4)
         assert r["chunks"] == want and [tuple(c) for c in r["child_chunks"]] == [(w, i) for i, w in enumerate(want)]
+
+
+def test_similarities_in_a_row_equal_those_of_rows(spark):
+    texts = ["One two. One two three. Four.", "", None, "A b c. A b c.\nA b d. ... x", "Lone"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, t string").select("doc", ck.sentences(F.col("t")).alias("sentence"))
+    rows = embed(docs.select("doc", F.posexplode("sentence").alias("i", "sentence")), "sentence", HashingEmbedder(8))
+    want = {(r["doc"], r["i"]): r["similarity"] for r in vectors.adjacent(rows, "i", "embedding", ["doc"]).collect()}
+    got = docs.withColumn("sim", similarities(F.col("sentence"), HashingEmbedder(8), rows=7))
+    assert {(r["doc"], r["i"]): r["s"] for r in got.select("doc", F.posexplode("sim").alias("i", "s")).collect()} == want
+    chunks = {r["doc"]: r["chunks"] for r in vectors.semantic_chunks(rows, ["doc"], 20).collect()}
+    cut = got.select("doc", vectors.cut_chunks(F.arrays_zip("sentence", "sim"), 20).alias("chunks")).where(F.size("chunks") > 0)
+    assert {r["doc"]: r["chunks"] for r in cut.collect()} == chunks
+
+
+def test_semantic_chunks_take_no_shuffle(spark):
+    from folioflow.plans import catalog
+
+    plan = catalog.queries()["semantic_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_hashed_vectors():
+    import zlib
+
+    texts = ["a b a", "", "é a", "x " * 50]
+    want = []
+    for t in texts:
+        want.append([0.0] * 5)
+        for h in (zlib.crc32(w.encode()) for w in t.split()):
+            want[-1][h % 5] += 1.0 if h & 0x80000000 else -1.0
+    got = HashingEmbedder(5).embed(texts)
+    assert got.tolist() == want and str(got.dtype) == "float32" and HashingEmbedder(5).embed([]).shape == (0, 5)
