@@ -38,3 +38,9 @@ def test_query_equals_its_sql(spark, duck, name):
     names = [x[0] for x in want.description]
     assert cols == sorted(names)
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall())
+
+
+def test_made_file_is_one_partition(spark):
+    from folioflow.plans import catalog_files
+
+    assert catalog_files._made(spark).rdd.getNumPartitions() == 1
